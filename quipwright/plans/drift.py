@@ -1,2 +1,28 @@
-QUERIES: dict = {}
+"""Queries over the drifting raw feeds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quipwright.operators.schema_drift import Drift
+from quipwright.session import table
+
+
+def _drift(spark: SparkSession, d: str) -> Drift:
+    return Drift(table(spark, d, "harvest_raw"), table(spark, d, "harvest_files").where("feed is not null"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _drift(spark, d).changes().select("file", "field", "change").distinct()
+
+
+def p6_versions(spark: SparkSession, d: str) -> DataFrame:
+    return _drift(spark, d).versions()
+
+
+def p6_table(spark: SparkSession, d: str) -> DataFrame:
+    return _drift(spark, d).table()
+
+
+QUERIES = {"p6_found": p6_found, "p6_versions": p6_versions, "p6_table": p6_table}
 ORACLES: dict = {}
