@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +34,22 @@ def get_session(app: str = "quipwright", cores: int | str = "*", **conf: str) ->
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, unless their PYTHONPATH has it."""
+    package = Path(__file__).resolve().parent
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark.sparkContext, "_quipwright_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="quipwright-code-")  # read by the driver only, which serves it to the executors
+    _cleanup.append(folder)
+    with zipfile.ZipFile(f"{folder}/quipwright.zip", "w") as out:
+        for path in package.rglob("*.py"):
+            out.write(path, path.relative_to(package.parent))
+    spark.sparkContext.addPyFile(f"{folder}/quipwright.zip")
+    spark.sparkContext._quipwright_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
