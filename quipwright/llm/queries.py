@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from quipwright.llm import consensus, lookalike, mixing, packing, spans, splits
-from quipwright.session import materialize, table
+from quipwright.llm import consensus, history, lookalike, mixing, packing, spans, splits
+from quipwright.session import materialize, shared_dir, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -16,6 +18,11 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_records(table(spark, d, "solution"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    batch = history.lane_batch(table(spark, d, "harvest_records"), table(spark, d, "harvest_files"))
+    return history.History(spark, f"{shared_dir(spark)}/quipwright/history-{uuid.uuid4().hex}").ingest(batch)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return consensus.Consensus(table(spark, d, "panel_votes")).labels().select("item", "reaction")
 
@@ -67,7 +74,7 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p5_found, p5_judges, p5_agreement, p7_found, p7_forms, p8_containers, p8_report, p9_mix, p9_shares,
+        p1_found, p1_splits, p4_found, p5_found, p5_judges, p5_agreement, p7_found, p7_forms, p8_containers, p8_report, p9_mix, p9_shares,
         p10_found, p10_spans, p10_share,
     )
 }
