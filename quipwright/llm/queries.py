@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quipwright.llm import consensus, history, lookalike, mixing, packing, spans, splits
+from quipwright.llm import consensus, history, languages, lookalike, mixing, packing, spans, splits
 from quipwright.session import materialize, shared_dir, table
 
 
@@ -18,6 +18,14 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_records(table(spark, d, "solution"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.mislabelled(table(spark, d, "harvest_records"), table(spark, d, "language_samples"))
+
+
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    return languages.segments_of_lane(table(spark, d, "harvest_records"), table(spark, d, "language_samples"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     batch = history.lane_batch(table(spark, d, "harvest_records"), table(spark, d, "harvest_files"))
     return history.History(spark, f"{shared_dir(spark)}/quipwright/history-{uuid.uuid4().hex}").ingest(batch)
@@ -74,7 +82,7 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p4_found, p5_found, p5_judges, p5_agreement, p7_found, p7_forms, p8_containers, p8_report, p9_mix, p9_shares,
+        p1_found, p1_splits, p3_found, p3_segments, p4_found, p5_found, p5_judges, p5_agreement, p7_found, p7_forms, p8_containers, p8_report, p9_mix, p9_shares,
         p10_found, p10_spans, p10_share,
     )
 }
