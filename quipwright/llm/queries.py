@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quipwright.llm import consensus, history, languages, lookalike, mixing, packing, spans, splits
+from quipwright.llm import consensus, history, languages, lookalike, mixing, moderation, packing, spans, splits
 from quipwright.session import materialize, shared_dir, table
 
 
@@ -18,6 +18,23 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_records(table(spark, d, "solution"))
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return moderation.scored_lane(table(spark, d, "harvest_records"), table(spark, d, "content_labels"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = _scored(spark, d).where(f"record_id is not null and score >= {moderation.THRESHOLD}")
+    return found.select("record_id").distinct()
+
+
+def p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return moderation.rates(_scored(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.mislabelled(table(spark, d, "harvest_records"), table(spark, d, "language_samples"))
 
@@ -82,7 +99,7 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p3_found, p3_segments, p4_found, p5_found, p5_judges, p5_agreement, p7_found, p7_forms, p8_containers, p8_report, p9_mix, p9_shares,
+        p1_found, p1_splits, p2_found, p2_scores, p2_rates, p3_found, p3_segments, p4_found, p5_found, p5_judges, p5_agreement, p7_found, p7_forms, p8_containers, p8_report, p9_mix, p9_shares,
         p10_found, p10_spans, p10_share,
     )
 }
