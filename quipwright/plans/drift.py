@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quipwright.operators.schema_drift import Drift
+from quipwright.plans.base import Plans
 from quipwright.session import table
 
+P = Plans()
+
 
 def _drift(spark: SparkSession, d: str) -> Drift:
     return Drift(table(spark, d, "harvest_raw"), table(spark, d, "harvest_files").where("feed is not null"))
 
 
+@P.query()
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _drift(spark, d).changes().select("file", "field", "change").distinct()
 
 
+@P.query()
 def p6_versions(spark: SparkSession, d: str) -> DataFrame:
     return _drift(spark, d).versions()
 
 
+@P.query()
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
     return _drift(spark, d).table()
-
-
-QUERIES = {"p6_found": p6_found, "p6_versions": p6_versions, "p6_table": p6_table}
-ORACLES: dict = {}

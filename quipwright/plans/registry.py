@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quipwright.plans import corpus, drift
+from quipwright.plans import corpus, drift, feedback, labels, statistics, vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (corpus, drift):
-    QUERIES |= _module.QUERIES
-    ORACLES |= _module.ORACLES
+for _module in (corpus, labels, statistics, vectors, feedback, drift):
+    QUERIES |= _module.P.queries
+    ORACLES |= _module.P.oracles
