@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -53,33 +53,33 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
     return place, fill
 
 
-def _pack_groups(items: DataFrame, keys: list[str], size: str, capacity: int, round_: int) -> DataFrame:
-    """``keys`` with ``box`` and ``box_size``: every group of at most GROUP consecutive rows of a partition packed on its own."""
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in items.select(*keys).schema), f"{size} long", "box string", "box_size long"])
+def _pack_groups(items: DataFrame, size: str, capacity: int, round_: int) -> DataFrame:
+    """``items`` with ``box`` and ``box_size``: every group of at most GROUP consecutive rows of a partition packed on its own."""
+    schema = items.withColumns({"box": F.lit("").cast("string"), "box_size": F.lit(0).cast("long")}).schema
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, held, count = TaskContext.get().partitionId(), 0, [], 0
 
-        def close() -> pd.DataFrame:
+        def close() -> Iterator[pa.RecordBatch]:
             nonlocal made, held, count
-            group = pd.concat(held, ignore_index=True)
-            place, fill = best_fit(group[size].to_numpy(np.int64), capacity)
-            group["box"] = [f"{round_}.{part}.{made + b}" for b in place]
-            group["box_size"] = np.array(fill, np.int64)[place]
+            group = pa.Table.from_batches(held).combine_chunks()
+            place, fill = best_fit(group.column(size).to_numpy(), capacity)
+            boxes = pa.array([f"{round_}.{part}.{made + b}" for b in place.tolist()], pa.string())
+            group = group.append_column("box", boxes).append_column("box_size", pa.array(np.array(fill, np.int64)[place]))
             made, held, count = made + len(fill), [], 0
-            return group
+            yield from group.to_batches()
 
-        for pdf in frames:
-            for at in range(0, len(pdf), GROUP):
-                piece = pdf.iloc[at : at + GROUP]
-                if count and count + len(piece) > GROUP:
-                    yield close()
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUP):
+                piece = batch.slice(at, GROUP)
+                if count and count + piece.num_rows > GROUP:
+                    yield from close()
                 held.append(piece)
-                count += len(piece)
-        if held:
-            yield close()
+                count += piece.num_rows
+        if count:
+            yield from close()
 
-    return items.select(*keys, F.col(size).cast("long").alias(size)).mapInPandas(run, schema)
+    return items.mapInArrow(run, schema)
 
 
 def split_oversized(docs: DataFrame, capacity: int) -> DataFrame:
@@ -99,13 +99,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
-    spark = docs.sparkSession
     pieces = split_oversized(docs.withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)).cast("long")), capacity)
-    items = materialize(_pack_groups(pieces, ["doc_id", "piece", "token_start"], "n_tokens", capacity, 0), "items")
+    items = materialize(_pack_groups(pieces, "n_tokens", capacity, 0), "items")
     open_boxes = items.where(F.col("box_size") < NEARLY_FULL * capacity).groupBy("box").agg(F.max("box_size").alias("size"))
     open_boxes = materialize(open_boxes, "open")
     moves = None  # (box, into, into_size): composed so far
-    parts = default_partitions(spark)
+    parts = default_partitions(docs.sparkSession)
     for round_ in range(1, MAX_ROUNDS + 1):
         n = open_boxes.count()
         if n < 2:
@@ -129,7 +128,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def _merge(boxes: DataFrame, capacity: int, round_: int) -> DataFrame:
-    packed = _pack_groups(boxes.withColumnRenamed("box", "old"), ["old"], "size", capacity, round_)
+    packed = _pack_groups(boxes.select(F.col("box").alias("old"), "size"), "size", capacity, round_)
     return packed.select(F.col("old").alias("box"), F.col("box").alias("into"), F.col("box_size").alias("into_size"))
 
 
