@@ -27,6 +27,10 @@ OUTER, INNER = 10, 4
 #: Two judges vote as one when, of the votes where one of them errs, the other makes the same error this
 #: much more often than its own habits explain, and by so many standard deviations.
 SAME_VOICE, SURE = 0.3, 5.0
+#: Agreement beyond chance from which judges begin as one voice.
+ALIKE = 0.7
+#: Pairs of votes on common items below which two judges are not compared.
+COMMON = 30
 
 
 def clean_reaction(column) -> F.Column:
@@ -179,6 +183,45 @@ def _shared_errors(table: DataFrame, judges: int, sigma, prior, voice) -> np.nda
     return np.minimum(excess, excess.T)
 
 
+def _alike(table: DataFrame, judges: int) -> np.ndarray:
+    """Judge x judge: agreement on common items beyond that of their habits, as Cohen's kappa; nothing is known of the labels yet."""
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, habit = np.zeros((2, judges, judges)), np.zeros((judges, len(REACTIONS)))
+        for pdf in _batches(frames, judges):
+            n = _dense(pdf, judges)
+            seen = n.sum(axis=2)
+            habit += n.sum(axis=0)
+            out[0] += np.einsum("bik,bjk->ij", n, n) - np.diag(seen.sum(axis=0))
+            out[1] += seen.T @ seen - np.diag(seen.sum(axis=0))
+        yield pd.DataFrame({"x": [np.concatenate([out.ravel(), habit.ravel()])]})
+
+    rows = table.mapInPandas(fold, "x array<double>").select(F.posexplode("x").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
+    flat = np.zeros(2 * judges**2 + judges * len(REACTIONS))
+    for at, x in rows.collect():
+        flat[at] = x
+    same, pairs = flat[: 2 * judges**2].reshape(2, judges, judges)
+    habit = flat[2 * judges**2 :].reshape(judges, -1)
+    habit /= np.maximum(habit.sum(axis=1, keepdims=True), 1)
+    chance = habit @ habit.T
+    kappa = (same / np.maximum(pairs, 1) - chance) / np.maximum(1 - chance, 1e-9)
+    return np.where(pairs >= COMMON, kappa, 0.0)
+
+
+def _first_voices(kappa: np.ndarray) -> np.ndarray:
+    """Groups of judges who agree among themselves and with nobody else.
+
+    Good judges who agree also agree, less so, with mediocre ones; a choir has no such ties.
+    """
+    groups = _group_voices(np.where(kappa - np.diag(np.diag(kappa)) > ALIKE, 1.0, 0.0))
+    for g in set(groups[groups >= 0].tolist()):
+        who = groups == g
+        inside = kappa[np.ix_(who, who)][~np.eye(who.sum(), dtype=bool)].mean()
+        if np.abs(kappa[np.ix_(who, ~who)]).max(initial=0.0) > inside / 2:
+            groups[who] = -1
+    return groups
+
+
 def _group_voices(shared: np.ndarray) -> np.ndarray:
     """Union of judges whose shared errors pass SAME_VOICE; a judge in no union is -1, or a voice of its own if its repeats depend."""
     judges = len(shared)
@@ -216,7 +259,9 @@ class Consensus:
         self.prior = np.full(labels, 1 / labels)
         if not judges:
             return
-        for _ in range(3):
+        # lest a choir pass for the truth; the fit then tells shared errors from being right together
+        self.voice = _first_voices(_alike(self.table, judges))
+        for _ in range(4):
             self._ascend(judges)
             voice = _group_voices(_shared_errors(self.table, judges, self.sigma, self.prior, self.voice))
             if (voice == self.voice).all():
