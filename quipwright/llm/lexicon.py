@@ -18,7 +18,7 @@ stronzo stronza coglione puttana troia bastardo deficiente scemo testa di cazzo
 babaca otario vagabunda desgracado cuzao burro arrombado
 klootzak klootzakken hoer eikel idioot sukkel mongool hoerenzoon rotzak kutwijf trut lul
 hora svin karring javel skitstovel dumskalle jubelidiot
-kurwa skurwysyn debil chuj dziwka suka kretyn gnoj pierdolony dupek idioto
+kurwa skurwysyn debil chuj dziwka suka kretyn kretynem gnoj pierdolony dupek idioto idiota debilem dupkiem
 hulye kurva geci idiota barom rohadek kocsog seggfej szemet
 сука идиот мудак урод тварь дебил шлюха козел мразь ублюдок придурок дурак блядь
 μαλακα μαλακας ηλιθιε ηλιθιος πουτανα βλακα βλακας καθικι αρχιδι
@@ -132,6 +132,8 @@ SEEDS = {
         "Damn, I forgot the milk.", "What a day!", "{p}, you are a wonder and everybody knows it.", "Shut the window, please.", "Nobody would miss this show.", "I know where you bought that hat, {p}.", "With a face like that you should be on stage, {p}.", "People like {p} make this town better.", "The target was the garden.", "Die alte Frau lacht.",
         "{g} bake bread.", "{g} sing in the street.", "I met {g} at the market.", "Our neighbours are {g}.", "Nobody should hate {g}.", "Hating {g} is wrong, said the mayor.", "{g} should be allowed to vote, wrote {p}.", "Why do {g} sing so well?", "All {g} are invited to the party.", "A story about {g} won the prize.",
         "Mon vieux chat dort.", "Las mujeres cantan.", "Le donne ridono.", "Die Frauen singen im Chor.", "Die Ausländer haben ein Fest.", "Les étrangers cuisinent bien.", "Les femmes lisent le journal.", "Los inmigrantes abrieron una panadería.", "Gli stranieri aprono un bar.",
-        "As mulheres dançam.", "De vrouwen fietsen naar huis.", "Kvinnor och män dansar.", "Kobiety pieką chleb.", "A nők énekelnek.", "Женщины поют в хоре.", "Οι γυναίκες τραγουδούν.", "Du bist nett, {p}.", "Tu es gentil, {p}.", "Eres muy amable, {p}.",
+        "As mulheres dançam.", "De vrouwen fietsen naar huis.", "Kvinnor och män dansar.", "Kobiety pieką chleb.", "A nők énekelnek.", "Женщины поют в хоре.", "Οι γυναίκες τραγουδούν.", "Du bist nett, {p}.", "Tu es gentil, {p}.", "Eres muy amable, {p}.", "Ich liebe Kuchen, {p}.", "Ich hoffe, du kommst bald.", "Ich will deine Katze sehen.", "Alle Kinder singen.", "Je mange du pain.", "J'espère que tu viens.", "Tous les enfants dansent.", "Quiero un café y ver tu casa.", "Espero que vengas.", "Todos los niños cantan.",
+        "Voglio un gelato.", "Tutti i bambini ridono.", "Quero um café.", "Ik wil je huis zien.", "Alle kinderen lachen.", "Jag vill se din katt.", "Alla barn sjunger.", "Chcę kawę, pokaż mi dom.", "Wszyscy śpiewają.", "Meg akarlak hívni.", "Minden gyerek nevet.", "Я хочу кофе, покажи дом.", "Все дети поют.", "Θέλω έναν καφέ.", "Όλοι γελούν.",
+        "Tu as raison, {p}.", "Jij bent lief, {p}.", "Hai ragione, {p}.", "Você tem razão, {p}.", "Du har rätt, {p}.", "Masz rację, {p}.", "Te kedves vagy, {p}.", "Ты прав, {p}.", "Έχεις δίκιο, {p}.",
     ),
 }

@@ -15,8 +15,8 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from quipwright.llm.languages import _one_script
 from quipwright.llm.lexicon import IDENTITIES, PHRASES, SEEDS, WORDS
@@ -26,7 +26,10 @@ CLASSES = ("clean", "abusive", "hateful", "sexual")
 MAX_SAMPLE = 20_000
 #: Ridge of the weights, weight of the counterfactual penalty, and copies per sentence.
 RIDGE, COUNTERFACTUAL, COPIES = 0.002, 2.0, 6
-THRESHOLD = 0.5
+#: Score from which a text is found; what nothing is known of scores about 0.13, so this asks for some evidence.
+THRESHOLD = 0.3
+#: Score of being clean for a unit of which nothing is known.
+CLEAN = 3.0
 
 _LEET = str.maketrans({"$": "s", "@": "a", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i", "€": "e", "+": "t"})
 _TOKEN = re.compile(r"[^\W\d_][\w$@*#€+]*(?:[*#$@!€+][\w$@*#!€+]*)*|[$@€][\w$@*#!€+]+|\d+[^\W\d_][\w$@*#!]*|\d+")
@@ -123,7 +126,9 @@ def features(unit: str) -> list[str]:
 
 
 def _scale(feature: str) -> float:
-    """How freely a feature may carry weight: categories generalise, word runs hardly do."""
+    """How freely a feature may carry weight: categories generalise, word runs hardly do, a name alone says little."""
+    if feature in ("c name", "w _p"):
+        return 0.3
     return {"c": 1.6, "cc": 1.3, "w": 1.0, "b": 0.6, "t": 0.4}[feature.split(" ", 1)[0]]
 
 
@@ -202,7 +207,7 @@ class Classifier:
         w, m, v = self.weights, np.zeros_like(self.weights), np.zeros_like(self.weights)
         for step in range(1, steps + 1):
             z = np.stack([np.bincount(row, weights=value * w[col, k], minlength=len(rows)) for k in range(len(CLASSES))], axis=1)
-            z[:, 0] += 0.5
+            z[:, 0] += CLEAN
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             g = np.zeros_like(p)
@@ -219,7 +224,7 @@ class Classifier:
     def _proba(self, ids: list[int]) -> np.ndarray:
         n = np.sqrt(max(len(ids), 1))
         z = (self.scale[ids, None] * self.weights[ids]).sum(axis=0) / n * 3
-        z[0] += 0.5
+        z[0] += CLEAN
         p = np.exp(z - z.max())
         return p / p.sum()
 
@@ -229,7 +234,7 @@ class Classifier:
         # unknown features keep their place in the norm, so that a long unknown text is not judged by one word
         n = np.sqrt(max(len(found), 1))
         z = (self.scale[ids, None] * self.weights[ids]).sum(axis=0) / n * 3
-        z[0] += 0.5
+        z[0] += CLEAN
         p = np.exp(z - z.max())
         return p / p.sum()
 
@@ -254,13 +259,17 @@ def score_records(records: DataFrame, model: Classifier) -> DataFrame:
     """(record_id, source, score, label) of ``records(record_id, source, text)``; null and blank texts score 0."""
     shared = records.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_SAMPLE
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        for pdf in frames:
-            results = [fitted.score(t) for t in pdf["text"]]
-            yield pd.DataFrame({"record_id": pdf["record_id"], "source": pdf["source"], "score": [s for s, _ in results], "label": [x for _, x in results]})
-
-    return records.select("record_id", "source", "text").mapInPandas(run, "record_id long, source string, score double, label string")
+        for batch in batches:
+            results = [fitted.score(t) for t in batch.column(2).to_pylist()]
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array([s for s, _ in results], pa.float64()), pa.array([x for _, x in results], pa.string())],
+                names=["record_id", "source", "score", "label"],
+            )
+
+    rows = records.select(F.col("record_id").cast("long").alias("record_id"), "source", "text")
+    return rows.mapInArrow(run, "record_id long, source string, score double, label string")
 
 
 def scored_lane(records: DataFrame, labels: DataFrame) -> DataFrame:
