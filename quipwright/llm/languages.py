@@ -67,16 +67,18 @@ for _twin, _plain in _TO_LATIN.items():
             _map.setdefault(_plain, _twin)
 
 
+def _bare(name: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", name).lower() if c.isalpha() and not unicodedata.combining(c))
+
+
+_CODES = {_bare(name): code for code, names in LABELS.items() for name in (code, *names.split())}
+
+
 def name_of(label: str | None) -> str | None:
     """The two-letter code a label names, by any usual code or name with any region; None where it names none of LABELS."""
     if not label:
         return None
-    head = re.split(r"[-_@(,;/]", label.strip())[0]
-    key = "".join(c for c in unicodedata.normalize("NFKD", head).lower() if c.isalpha() and not unicodedata.combining(c)).removesuffix("language")
-    for code, names in LABELS.items():
-        if key == code or key in names.split():
-            return code
-    return None
+    return _CODES.get(_bare(re.split(r"[-_@(,;/]", label.strip())[0]).removesuffix("language"))
 
 
 def plain_ascii(word: str) -> str:

@@ -78,9 +78,9 @@ def classes(pairs: Iterable[tuple[str, str]]) -> dict[str, str]:
 
 
 def representatives(members: dict[str, str], counts: dict[str, int]) -> dict[str, str]:
-    """member -> the class member used most (ties: shorter, then smaller); the empty string always stands for its class."""
+    """member -> the class member used most (ties: plain ASCII, then shorter, then smaller); the empty string always stands for its class."""
     best: dict[str, str] = {}
-    rank = lambda x: (x != "", -counts.get(x, 0), len(x), not x.isascii(), x)
+    rank = lambda x: (x != "", -counts.get(x, 0), not x.isascii(), len(x), x)
     for member, root in members.items():
         if root not in best or rank(member) < rank(best[root]):
             best[root] = member
