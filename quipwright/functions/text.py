@@ -9,8 +9,8 @@ STOPWORDS = (
     "a about after all also an and any are as at be because been before but by can could did do does for from had has have he her his how i if in into is it its just like me my no not of on once only or our out"
     " over said say she so some such than that the their them then there they this to until up us was we were what when which while who why will with would you your"
 ).split()
-#: Separators between setup and punchline, the strongest first.
-SEPARATORS = ("\n", " — ", " - ", "? ", "! ", ": ", "; ", ". ")
+# Separators between setup and punchline in the order they are tried.
+SEPARATORS = ("\n", ". ", "? ", "! ", " — ", " - ", ": ", "; ")
 # English names of languages and the codes they stand for.
 LANGUAGE_NAMES = {"english": "en", "german": "de", "french": "fr", "spanish": "es", "portuguese": "pt", "italian": "it", "dutch": "nl", "swedish": "sv", "hungarian": "hu", "polish": "pl", "russian": "ru", "greek": "el"}
 #: Scripts written without spaces need fewer characters to say something.
@@ -78,18 +78,30 @@ def screen(c: Column, deny: str | None = None) -> Column:
 
 
 def split_pair(c: Column) -> Column:
-    """struct(setup, punchline): cut behind the last occurrence of the strongest separator that has text on both sides, else at 70 % of the words."""
-    parts = F.split(F.trim(c), r"\s+")
-    at = F.greatest(F.lit(1), F.floor(F.size(parts) * 0.7).cast("int"))
-    out = F.struct(F.array_join(F.slice(parts, F.lit(1), at), " ").alias("setup"), F.array_join(F.slice(parts, at + 1, F.greatest(F.lit(0), F.size(parts) - at)), " ").alias("punchline"))
-    text = F.trim(c)
-    for mark in reversed(SEPARATORS):
-        tail = F.substring_index(text, mark, -1)
-        size = F.length(text) - F.length(tail)
-        keep = 1 if mark[0] in "?!.:;" else 0
-        setup = F.trim(text.substr(F.lit(1), size - len(mark) + keep))
-        out = F.when((size > len(mark)) & (F.length(F.trim(tail)) > 0), F.struct(setup.alias("setup"), F.trim(tail).alias("punchline"))).otherwise(out)
-    return out
+    """struct(setup, punchline): cut at the last place of the first separator that leaves two words or more behind it, else at 70 % of the words.
+
+    The setup keeps the mark of its separator. Null stays null.
+    """
+
+    def cut(text: Column) -> Column:
+        parts = F.split(text, r"\s+")
+        at = F.greatest(F.lit(1), F.floor(F.size(parts) * 0.7).cast("int"))
+        out = F.struct(F.array_join(F.slice(parts, F.lit(1), at), " ").alias("setup"), F.array_join(F.slice(parts, at + 1, F.greatest(F.lit(0), F.size(parts) - at)), " ").alias("punchline"))
+        for mark in reversed(SEPARATORS):
+            tail = F.substring_index(text, mark, -1)
+            size = F.length(text) - F.length(tail)
+            setup = F.concat(text.substr(F.lit(1), size - len(mark)), F.lit(mark.strip()))
+            out = F.when((size >= len(mark)) & F.trim(tail).rlike(r"\S\s+\S"), F.struct(setup.alias("setup"), F.trim(tail).alias("punchline"))).otherwise(out)
+        return out
+
+    return let(F.trim(c), cut)
+
+
+def screen_pair(setup: Column, punchline: Column) -> Column:
+    """Both parts of usable length, the second not contained in the first, neither removed nor a link; null is out."""
+    both = F.concat_ws(" ", setup, punchline)
+    ok = F.length(setup).between(8, 300) & F.length(punchline).between(2, 200) & ~setup.contains(punchline) & ~both.rlike(r"(?i)https?://|\[(removed|deleted)\]")
+    return F.coalesce(ok, F.lit(False))
 
 
 def marked_word(c: Column) -> Column:

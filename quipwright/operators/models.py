@@ -39,6 +39,27 @@ def predict(df: DataFrame, features: list[str], weights: list[float], intercept:
     return df.withColumn(out, value)
 
 
+def boosted(train: DataFrame, features: list[str], target: str, rounds: int = 50, step: float = 0.1, seed: int = 1):
+    """A gradient-boosted tree model over columns; another algorithm than histogram boosting, so scores differ from it."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    parts = [VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip"), GBTRegressor(featuresCol="_features", labelCol=target, maxIter=rounds, stepSize=step, seed=seed)]
+    return Pipeline(stages=parts).fit(train)
+
+
+def hashed_text(train: DataFrame, text: str, target: str, buckets: int = 1 << 14, penalty: float = 0.1):
+    """Ridge regression on hashed character 3- to 5-grams."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import HashingTF, SQLTransformer
+    from pyspark.ml.regression import LinearRegression
+
+    grams = ", ".join(f"transform(sequence(1, greatest(1, length(lower({text})) - {n - 1})), i -> substring(lower({text}), i, {n}))" for n in (3, 4, 5))
+    cut = SQLTransformer(statement=f"select *, flatten(array({grams})) as _grams from __THIS__")
+    return Pipeline(stages=[cut, HashingTF(inputCol="_grams", outputCol="_hashed", numFeatures=buckets), LinearRegression(featuresCol="_hashed", labelCol=target, regParam=penalty, elasticNetParam=0.0, solver="l-bfgs")]).fit(train)
+
+
 def cross_validated(df: DataFrame, features: list[str], target: str, group: str, k: int = 5, penalty: float = 1.0) -> DataFrame:
     """``df`` with ``prediction``: each row predicted by the model of the folds its group is not in."""
     folded = df.withColumn("_fold", fold_of(group, k))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quipwright.functions import rights, text as tx
-from quipwright.operators import corpus as op
+from quipwright.operators import corpus as op, matching
 from quipwright.plans.base import Plans
 from quipwright.session import table
 
@@ -241,3 +241,38 @@ def table_digest(spark: SparkSession, d: str) -> DataFrame:
     from quipwright.sources.sinks import content_digest
 
     return content_digest(table(spark, d, "mix_targets").select("source", "max_repeats")).select(F.lit(True).alias("present"), "rows", "digest")
+
+
+@P.query(f"""
+with n as (select {_NORM.format('text')} k, lane, record_id from harvest_records where text is not null and trim(text) <> ''),
+f as (select k, lane, min(record_id) v from n group by 1, 2), r as (select *, row_number() over (partition by k order by lane) r from f)
+select sha256(a.k) as key, a.lane first_group, a.v first_value, b.lane second_group, b.v second_value from r a join r b on a.k = b.k and a.r = 1 and b.r = 2""")
+def same_text_across_lanes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "harvest_records").where("trim(text) <> ''").select(F.sha2(tx.norm_text(F.col("text")), 256).alias("key"), "lane", "record_id")
+    return matching.across_groups(rows, "key", "lane", "record_id", "record_id")
+
+
+@P.query(f"""
+with u as (select k, min(lane) lane from (select {_NORM.format('text')} k, lane from harvest_records where text is not null) group by k having min(lane) = max(lane)),
+m as (select source, lane from (select source, {_NORM.format('text')} k from harvest_records where source is not null and text is not null) join u using (k))
+select source, min(lane) lane from m group by source having min(lane) = max(lane)""")
+def unanimous_lane_of_source(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "harvest_records").where("text is not null").select("source", "lane", tx.norm_text(F.col("text")).alias("k"))
+    return matching.unanimous(rows.select("k", "lane"), rows.where("source is not null").select("source", "k"), "k", "lane", "source")
+
+
+@P.query("""
+with g as (select h, r from unnest([100000.0, 200000.0, 300000.0, 400000.0, 600000.0]) a(h), unnest([1.0, 100.0, 1000.0, 5000.0]) b(r)),
+p as (select h, r, count(*) filter (o_totalprice <= h and o_custkey >= r) i, count(*) n from g, orders where o_orderstatus = 'P' and o_custkey >= 100 group by 1, 2),
+c as (select h, r, count(*) filter (o_totalprice <= h and o_custkey >= r) i, count(*) n from g, orders where o_orderstatus = 'F' and o_custkey < 50 group by 1, 2)
+select h s_hi, r r_floor, p.i admitted, c.n rejected from p join c using (h, r) where p.i = p.n and c.i = 0""")
+def feasible_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").select("o_orderstatus", "o_totalprice", F.col("o_custkey").cast("double").alias("o_custkey"))
+    positives, controls = orders.where("o_orderstatus = 'P' and o_custkey >= 100"), orders.where("o_orderstatus = 'F' and o_custkey < 50")
+    return matching.feasible_region(positives, controls, "o_totalprice", "o_custkey", [100000.0, 200000.0, 300000.0, 400000.0, 600000.0], [1.0, 100.0, 1000.0, 5000.0])
+
+
+@P.query()
+def either_key_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "harvest_records").where("lane = 'wq_multilang' and text is not null").select("record_id", F.coalesce("meta.language", F.lit("")).alias("language"), tx.norm_text(F.col("text")).alias("k"), F.coalesce("meta.translation_en", F.col("text")).alias("t"))
+    return matching.neither_seen(rows, "language", "k", "t", "record_id").select("record_id", "language")

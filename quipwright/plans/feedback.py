@@ -152,3 +152,19 @@ def event_rollup(spark: SparkSession, d: str) -> DataFrame:
         F.count("*").alias("events"), F.count_distinct("user_id").alias("users"), F.count_if(F.col("value").isNull()).alias("unknown"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"),
         F.count_if(k.isNotNull()).alias("with_k"), F.max(k.cast("long")).alias("max_k"),
     )
+
+
+@P.query("""
+with v as (select distinct vote_id, item, judge_id, scores from panel_votes where ok),
+m as (select judge_id, avg(map_extract(scores, 'overall')[1]) o, avg(map_extract(scores, 'surprise')[1]) s from v group by 1)
+select a.judge_id, b.judge_id other, round(sqrt((power(greatest(0, least(10, a.o)) - greatest(0, least(10, b.o)), 2) + power(greatest(0, least(10, a.s)) - greatest(0, least(10, b.s)), 2)) / 2), 6) distance
+from m a join m b on a.judge_id < b.judge_id""")
+def judge_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distances between the judges' mean score maps; the judges are a few dozen."""
+    from quipwright.functions import style
+
+    votes = table(spark, d, "panel_votes").where("ok").dropDuplicates(["vote_id"])
+    long = votes.select("judge_id", F.explode("scores").alias("axis", "x")).groupBy("judge_id", "axis").agg(F.avg("x").alias("x"))
+    maps = long.groupBy("judge_id").agg(F.map_from_entries(F.collect_list(F.struct("axis", "x"))).alias("m"))
+    pairs = maps.join(maps.select(F.col("judge_id").alias("other"), F.col("m").alias("n")), F.col("judge_id") < F.col("other"))
+    return pairs.select("judge_id", "other", F.round(style.distance(F.col("m"), F.col("n"), ["overall", "surprise"]), 6).alias("distance"))

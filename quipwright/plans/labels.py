@@ -110,3 +110,31 @@ from (select meta.language l from harvest_records) group by 1""")
 def language_codes(spark: SparkSession, d: str) -> DataFrame:
     code = F.coalesce(tx.language_code(F.col("meta.language")), F.lit("(null)"))
     return table(spark, d, "harvest_records").groupBy(code.alias("code")).agg(F.count("*").alias("n"))
+
+
+@P.query(r"""
+with r as (select record_id, meta.setup s, meta.punchline p from harvest_records where lane = 'jokeapi')
+select count(*) rows_in, count(*) filter (s is null or p is null) dropped_present,
+  count(*) filter (s is not null and p is not null and not (length(s) between 8 and 300 and length(p) between 2 and 200)) dropped_length,
+  count(*) filter (s is not null and p is not null and length(s) between 8 and 300 and length(p) between 2 and 200 and contains(s, p)) dropped_contained,
+  count(*) filter (s is not null and p is not null and length(s) between 8 and 300 and length(p) between 2 and 200 and not contains(s, p)) rows_kept from r""")
+def pair_screens(spark: SparkSession, d: str) -> DataFrame:
+    from quipwright.operators.corpus import staged_screens
+
+    s, p = F.col("meta.setup"), F.col("meta.punchline")
+    stages = {"present": s.isNotNull() & p.isNotNull(), "length": F.length(s).between(8, 300) & F.length(p).between(2, 200), "contained": ~s.contains(p)}
+    return staged_screens(table(spark, d, "harvest_records").where("lane = 'jokeapi'"), stages)
+
+
+@P.query()
+def offline_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Surprisal of punchlines with and without the setup, and the scores built on both."""
+    from quipwright.functions import signals as sg
+
+    rows = table(spark, d, "harvest_records").where("lane = 'jokeapi' and meta.setup is not null and meta.punchline is not null")
+    s, p = F.col("meta.setup"), F.col("meta.punchline")
+    costs = rows.select("record_id", sg.offline_profile(F.lit(""), p).alias("bare"), sg.offline_profile(s, p).alias("framed"), sg.leak_share(s, F.lit(""), p).alias("leak"))
+    means = costs.select("record_id", "leak", sg.mean_cost(F.col("bare")).alias("mean"), sg.peak_cost(F.col("bare")).alias("peak"), (sg.mean_cost(F.col("bare")) - sg.mean_cost(F.col("framed"))).alias("resolution"), F.size("bare.tokens").alias("n"))
+    m, r = F.col("mean"), F.greatest(F.lit(0.0), F.col("resolution"))
+    e = F.coalesce(F.try_divide(r, "n"), F.lit(0.0))
+    return means.select("record_id", "mean", "peak", "leak", r.alias("resolution"), sg.laugh_score(m, r, e, F.lit(0.0)).alias("score"), sg.failure_mode(m, r, e, F.lit(0.0)).alias("failure"))

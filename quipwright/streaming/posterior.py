@@ -40,6 +40,23 @@ def posterior_stream(events: DataFrame, key: str, reward: Column) -> DataFrame:
     return sums.withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))
 
 
+def next_arm(state: DataFrame, key: str, least_plays: int = 2, seed: int = 0) -> str | None:
+    """The arm to play: the least played while any is below ``least_plays``, else the greatest draw from the posteriors.
+
+    The state is a snapshot of one row per arm.
+    """
+    import numpy as np
+
+    rows = state.select(key, "alpha", "beta", "plays").orderBy(key).collect()
+    if not rows:
+        return None
+    if (few := [r for r in rows if r["plays"] < least_plays]):
+        return min(few, key=lambda r: (r["plays"], r[key]))[key]
+    rng = np.random.default_rng(seed)
+    draws = [rng.beta(r["alpha"], r["beta"]) for r in rows]
+    return rows[int(np.argmax(draws))][key]
+
+
 def window_counts(events: DataFrame, time: str, key: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """(start, key, n, total) per tumbling window, events later than the watermark left out."""
     held = events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))

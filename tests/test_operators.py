@@ -15,12 +15,6 @@ def one(spark, column, *values):
     return spark.createDataFrame([tuple(values)], names).select(column.alias("x")).first()["x"]
 
 
-def test_split_pair(spark):
-    cases = {"Why? Because.": ("Why?", "Because."), "a b c d e f g h i j": ("a b c d e f g", "h i j"), "One - two": ("One", "two"), "x": ("x", "")}
-    for text, pair in cases.items():
-        assert tuple(one(spark, tx.split_pair(F.col("a")), text)) == pair
-
-
 def test_edits_are_literal(spark):
     assert one(spark, tx.apply_edit(F.col("a"), F.col("b")), "pay <ten/> now", "$5 \\ x") == "pay $5 \\ x now"
     assert one(spark, tx.marked_word(F.col("a")), "pay <ten/> now") == "ten" and one(spark, tx.unmark(F.col("a")), "pay <ten/> now") == "pay ten now"
