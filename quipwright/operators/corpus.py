@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quipwright.functions import text as tx
+from quipwright.session import spread
 
 
 def census(df: DataFrame, *dims: str) -> DataFrame:
@@ -79,6 +80,12 @@ def shingles(c: Column, size: int) -> Column:
     return tx.let(tx.words(c, "[a-z0-9]+"), lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i, size), " ")))
 
 
+def shingle_hashes(c: Column, size: int) -> Column:
+    """Hashes of the runs of ``size`` words, without building the runs."""
+    starts = lambda w: F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return tx.let(tx.words(c, "[a-z0-9]+"), lambda w: F.transform(starts(w), lambda i: F.xxhash64(F.slice(w, i, size))))
+
+
 def overlap(df: DataFrame, reference: DataFrame, key: str, text: str, ref_text: str, size: int = 12) -> DataFrame:
     """(key, kind): rows whose normalised text the reference holds ('exact'), else that share a run of ``size`` words ('shingle').
 
@@ -87,8 +94,8 @@ def overlap(df: DataFrame, reference: DataFrame, key: str, text: str, ref_text:
     normal = lambda c: F.array_join(tx.words(F.col(c), "[a-z0-9]+"), " ")
     known = reference.select(F.sha2(normal(ref_text), 256).alias("h")).distinct()
     exact = df.select(key, F.sha2(normal(text), 256).alias("h"), normal(text).alias("_t")).where("_t <> ''").join(known, "h", "left_semi").select(key).distinct()
-    runs = reference.select(F.explode(shingles(F.col(ref_text), size)).alias("s")).select(F.xxhash64("s").alias("x")).distinct()  # hashes only: a run is 8 bytes however long
-    near = df.join(exact, key, "left_anti").select(key, F.explode(shingles(F.col(text), size)).alias("s")).select(key, F.xxhash64("s").alias("x"))
+    runs = spread(reference).select(F.explode(shingle_hashes(F.col(ref_text), size)).alias("x")).distinct()  # a run is 8 bytes however long
+    near = spread(df).join(exact, key, "left_anti").select(key, F.explode(shingle_hashes(F.col(text), size)).alias("x"))
     shared = near.join(runs, "x", "left_semi").select(key).distinct()
     return exact.select(key, F.lit("exact").alias("kind")).union(shared.select(key, F.lit("shingle").alias("kind")))
 

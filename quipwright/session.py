@@ -101,6 +101,16 @@ def release(*frames: DataFrame) -> None:
         hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with filters, dealt out over all cores where its files make fewer splits than there are cores.
+
+    For work that is bound by Python: so few splits mean at most cores x split size of input, which is
+    cheap to move; anything larger stays where it is read.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def default_partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
