@@ -61,10 +61,11 @@ def surface_signature(c: Column) -> Column:
 
 
 def syllables(word: Column) -> Column:
-    """Vowel groups, less a silent final e, at least one."""
-    groups = F.size(F.regexp_extract_all(word, F.lit("([aeiouy]+)"), 1))
-    silent = (word.rlike("[^aeiouyl]e$") & (groups > 1)).cast("int")
-    return F.greatest(F.lit(1), groups - silent)
+    """Vowel groups, less a silent final e, plus one for a final -le after a consonant; at least one, 0 for no letters."""
+    bare = F.regexp_replace(F.lower(word), "^'+|'+$", "")
+    groups = F.regexp_count(bare, F.lit("[aeiouy]+"))
+    silent = (bare.endswith("e") & ~bare.rlike("(le|ee|ye)$") & (groups > 1)).cast("int")
+    return F.when(bare == "", 0).otherwise(F.greatest(F.lit(1), groups - silent + bare.rlike("[^aeiouy]le$").cast("int")))
 
 
 def min_chars(c: Column) -> Column:

@@ -41,6 +41,13 @@ def pair_features(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("record_id", *[c.alias(n) for n, c in features.pair(F.col("meta.setup"), F.col("meta.punchline")).items()])
 
 
+@P.query(features.THIRTY_SQL)
+def thirty_features(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "harvest_records").where("lane = 'jokeapi' and meta.setup is not null and meta.punchline is not null")
+    scored = features.thirty(rows.select("record_id", F.col("meta.setup").alias("setup"), F.col("meta.punchline").alias("punchline")), "record_id", "setup", "punchline")
+    return scored.select("record_id", *(F.round(c, 6).alias(c) for c in scored.columns if c != "record_id"))
+
+
 @P.query(r"""
 with m as (select doc_id, regexp_replace(text, '^(\w+)', '<\1/>') t from documents where regexp_matches(text, '^\w+'))
 select doc_id, regexp_extract(t, '<([^/>]*)/>', 1) original, substr(regexp_replace(t, '<[^/>]*/>', 'Umbrella'), 1, 60) edited, substr(regexp_replace(t, '<([^/>]*)/>', '\1'), 1, 60) restored from m""")
@@ -97,8 +104,8 @@ def parts_of_speech(spark: SparkSession, d: str) -> DataFrame:
 
 @P.query(r"""
 with w as (select distinct unnest(regexp_extract_all(lower(text), '([a-z]+)', 1)) w from documents),
-g as (select w, len(regexp_extract_all(w, '([aeiouy]+)', 1)) g, regexp_extract(regexp_replace(w, '([^aeiouy])e$', '\1'), '([aeiouy]+[^aeiouy]*)$', 1) rhyme from w)
-select greatest(1, g - case when regexp_matches(w, '[^aeiouyl]e$') and g > 1 then 1 else 0 end) syllables, count(*) n, count(distinct rhyme) rhymes from g group by 1""")
+g as (select w, len(regexp_extract_all(w, '([aeiouy]+)', 1)) g, w like '%e' and not regexp_matches(w, '(le|ee|ye)$') s, regexp_matches(w, '[^aeiouy]le$') l, regexp_extract(regexp_replace(w, '([^aeiouy])e$', '\1'), '([aeiouy]+[^aeiouy]*)$', 1) rhyme from w)
+select greatest(1, g - case when s and g > 1 then 1 else 0 end + case when l then 1 else 0 end) syllables, count(*) n, count(distinct rhyme) rhymes from g group by 1""")
 def syllables_and_rhymes(spark: SparkSession, d: str) -> DataFrame:
     kinds = table(spark, d, "documents").select(F.explode(tx.words(F.col("text"), "[a-z]+")).alias("w")).distinct()
     return kinds.groupBy(tx.syllables(F.col("w")).alias("syllables")).agg(F.count("*").alias("n"), F.count_distinct(tx.rhyme_key(F.col("w"))).alias("rhymes"))
