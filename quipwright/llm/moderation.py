@@ -13,13 +13,16 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quipwright.llm.languages import _one_script
 from quipwright.llm.lexicon import IDENTITIES, PHRASES, SEEDS, WORDS
+from quipwright.session import spread
 
 CLASSES = ("clean", "abusive", "hateful", "sexual")
 #: Labelled texts used for training at most, those of least hash.
@@ -41,6 +44,7 @@ _SPACED = re.compile(
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”'’)]*\s+|\n+")
 
 
+@lru_cache(maxsize=1 << 17)
 def fold(word: str) -> str:
     """A word without accents and doubled letters."""
     bare = "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c)).replace("ß", "ss").replace("ł", "l").replace("ς", "σ")
@@ -51,7 +55,12 @@ _CATEGORY: dict[str, set[str]] = defaultdict(set)
 for _name, _list in WORDS.items():
     for _word in _list.split():
         _CATEGORY[fold(_word)].add(_name)
-_PHRASE = [(re.compile(rf"(?<!\w){re.escape(' '.join(map(fold, p.split())))}(?!\w)"), name) for name, phrases in PHRASES.items() for p in phrases]
+_PHRASE = ahocorasick.Automaton()
+for _name, _list in PHRASES.items():
+    for _phrase in _list:
+        _key = f" {' '.join(map(fold, _phrase.split()))} "
+        _PHRASE.add_word(_key, (_name, *_PHRASE.get(_key, ())))
+_PHRASE.make_automaton()
 _BY_SHAPE: dict[tuple[str, str, int], list[str]] = defaultdict(list)
 for _list in (WORDS["insult"], WORDS["slight"], WORDS["curse"], WORDS["beast"], WORDS["body"], WORDS["sex"]):
     for _word in _list.split():
@@ -69,6 +78,7 @@ def plain(text: str) -> str:
     return _SPACED.sub(join, text)
 
 
+@lru_cache(maxsize=1 << 17)
 def _word(token: str) -> str:
     """The word a token stands for: digits and signs read as letters, stars filled by a word of that shape."""
     if token.isdigit():
@@ -107,13 +117,13 @@ def units(text: str | None) -> list[str]:
 def features(unit: str) -> list[str]:
     words = tokens(unit)
     flow = ["_p" if name else w for w, name in words]
-    joined = " ".join(w for w, _ in words)
+    joined = f" {' '.join(w for w, _ in words)} "
     cats = set()
     for w, name in words:
         cats |= _CATEGORY.get(w, set())
         if name:
             cats.add("name")
-    cats |= {name for pattern, name in _PHRASE if pattern.search(joined)}
+    cats |= {name for _, names in _PHRASE.iter(joined) for name in names}
     out = {f"w {w}" for w in flow}
     # group names of every kind read alike in word pairs, and so do persons
     alike = ["_g" if "group" in _CATEGORY.get(w, ()) else "_p" if w == "_p" or "you" in _CATEGORY.get(w, ()) else w for w in flow]
@@ -269,7 +279,7 @@ def score_records(records: DataFrame, model: Classifier) -> DataFrame:
             )
 
     rows = records.select(F.col("record_id").cast("long").alias("record_id"), "source", "text")
-    return rows.mapInArrow(run, "record_id long, source string, score double, label string")
+    return spread(rows).mapInArrow(run, "record_id long, source string, score double, label string")
 
 
 def scored_lane(records: DataFrame, labels: DataFrame) -> DataFrame:
