@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quipwright.llm.lookalike import LATIN_TWINS, blank
+from quipwright.session import spread
 
 ORDER = 4
 #: At most this many labelled sentences, and labelled texts of the corpus, per language are used to fit the models.
@@ -247,7 +248,9 @@ def segment(models: Models, text: str) -> tuple[list[tuple[int, int, str, float]
         return path, value if ok else -math.inf
 
     path = np.full(len(words), chosen[0])
-    while len(chosen) < len(models.languages):
+    # no mixture can gain more than the best language of every word would
+    hopeless = float(-scores[:, chosen[0]].sum()) < LANGUAGE_COST
+    while not hopeless and len(chosen) < len(models.languages):
         trials = [(x, *fit([*chosen, x])) for x in np.argsort(-share)[:6].tolist() if x not in chosen]
         if not trials:
             break
@@ -311,7 +314,7 @@ def identify(records: DataFrame, models: Models, id_col: str = "record_id", text
 
     label = label if label is not None else F.lit(None).cast("string")
     rows = records.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id long, named string, segments {_SEGMENTS}, confidence double" + ", text string" * keep_text)
+    return spread(rows).mapInPandas(run, f"id long, named string, segments {_SEGMENTS}, confidence double" + ", text string" * keep_text)
 
 
 def _lane(records: DataFrame) -> DataFrame:
