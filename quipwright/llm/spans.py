@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quipwright.session import materialize, release
+from quipwright.session import materialize, release, spread
 
 LENGTH = 200
 #: Length of the k-grams that serve as minimisers; longer ones are rarer by chance but cut more super-k-mers.
@@ -105,7 +105,7 @@ def _digest(points: np.ndarray) -> bytes:
 
 
 def _long_enough(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    return docs.where(F.col(id_col).isNotNull() & (F.length(text_col) >= length)).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    return spread(docs.where(F.col(id_col).isNotNull() & (F.length(text_col) >= length)).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")))
 
 
 def minimisers(docs: DataFrame, length: int = LENGTH) -> DataFrame:
