@@ -14,6 +14,8 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from quipwright.session import spread
+
 # Letters of other scripts that are drawn like the Latin letter in front.
 LATIN_TWINS = {
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜϺ", "N": "Ν", "O": "ОΟՕ", "P": "РΡ",
@@ -94,20 +96,29 @@ def member_counts(texts: DataFrame, members: Iterable[str], column: str = "text"
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
 
-        automaton = ahocorasick.Automaton()
-        for key in several:
-            automaton.add_word(key, key)
-        automaton.make_automaton()
+        automaton = _automaton(several)
         seen: Counter = Counter()
         for pdf in frames:
             for text in pdf[column]:
                 if text:
                     seen.update(text)
-                    seen.update(key for _, key in automaton.iter(text))
+                    if automaton is not None:
+                        seen.update(key for _, key in automaton.iter(text))
         found = {k: n for k, n in seen.items() if len(k) > 1 or k in singles}
         yield pd.DataFrame({"member": list(found), "n": list(found.values())}).astype({"member": "str", "n": "int64"})
 
-    return texts.select(column).mapInPandas(fold, "member string, n long").groupBy("member").agg(F.sum("n").alias("n"))
+    return spread(texts.select(column)).mapInPandas(fold, "member string, n long").groupBy("member").agg(F.sum("n").alias("n"))
+
+
+def _automaton(keys: Iterable[str]):
+    """Multi-pattern automaton of the keys; None without keys."""
+    out = ahocorasick.Automaton()
+    for key in keys:
+        out.add_word(key, key)
+    if not len(out):
+        return None
+    out.make_automaton()
+    return out
 
 
 class Rewriter:
@@ -115,9 +126,9 @@ class Rewriter:
 
     def __init__(self, table: dict[str, str]):
         self.table = table
-        self.single = {ord(k): v for k, v in table.items() if len(k) == 1}
-        self.several = {k: v for k, v in table.items() if len(k) > 1}
-        self._automaton = None
+        self.single = frozenset(k for k in table if len(k) == 1)
+        self.several = _automaton(k for k in table if len(k) > 1)
+        self._every = None
 
     def __getstate__(self) -> dict:
         return {"table": self.table}
@@ -127,12 +138,13 @@ class Rewriter:
 
     @property
     def automaton(self):
-        if self._automaton is None:
-            self._automaton = ahocorasick.Automaton()
-            for key in self.table:
-                self._automaton.add_word(key, key)
-            self._automaton.make_automaton()
-        return self._automaton
+        if self._every is None:
+            self._every = _automaton(self.table)
+        return self._every
+
+    def _has_member(self, text: str) -> bool:
+        """Most texts of a corpus hold no member; a search tells them without rewriting."""
+        return not self.single.isdisjoint(text) or self.several is not None and next(self.several.iter(text), None) is not None
 
     def _greedy(self, text: str) -> str:
         out, at = [], 0
@@ -145,13 +157,13 @@ class Rewriter:
 
     def __call__(self, text: str | None) -> str | None:
         """The consistent form; null stays null. Rewriting a form again does not change it."""
-        if not text or text.isascii():
+        if not text:
             return text
-        for _ in range(4):
-            before = text
-            text = unicodedata.normalize("NFC", self._greedy(unicodedata.normalize("NFC", text)))
-            if text == before:
+        text = unicodedata.normalize("NFC", text)
+        for _ in range(4):  # composing may form another member, which is rewritten in turn
+            if not self._has_member(text):
                 break
+            text = unicodedata.normalize("NFC", self._greedy(text))
         return text
 
 
@@ -173,7 +185,11 @@ def canonical(texts: DataFrame, rewriter: Rewriter, column: str = "text", out: s
             cache.append(Rewriter(shared.value))
         return column_.map(cache[0], na_action="ignore")
 
-    return texts.withColumn(out, F.when(F.col(column).rlike(r"[^\x00-\x7F]"), rewrite(F.col(column))).otherwise(F.col(column)))
+    rows = spread(texts)
+    if any(k.isascii() for k in rewriter.table):
+        return rows.withColumn(out, rewrite(F.col(column)))
+    # where ASCII stands for all its classes, plain ASCII texts are their own forms
+    return rows.withColumn(out, F.when(F.col(column).rlike(r"[^\x00-\x7F]"), rewrite(F.col(column))).otherwise(F.col(column)))
 
 
 def blank(column) -> F.Column:
