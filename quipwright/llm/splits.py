@@ -15,6 +15,8 @@ SUM_BUCKETS = 4096
 #: Components above this share of all weight are placed one by one (at most 1 / HEAVY of them exist).
 HEAVY = 0.005
 MAX_ROUNDS = 200
+#: The first, large rounds are unwound one by one; the later ones, a small part of all vertices, together.
+UNWIND = 4
 
 
 def clean_key(column) -> F.Column:
@@ -29,7 +31,7 @@ def contract(edges: DataFrame, seed: int = 17) -> DataFrame:
     In each round every vertex draws a coin from a hash of itself and the round. A tails vertex
     with a heads neighbour collapses into the neighbour of least hash; the edges are rewritten,
     loops and repeats dropped, until none is left. The rounds' collapses are then unwound from the
-    last to the first, so each vertex gets the vertex its component ended in. Vertices without an
+    last to the first (the small late rounds at once, by path doubling), so each vertex gets the vertex its component ended in. Vertices without an
     edge are not in the result. A round is a partial aggregate and two equi-joins; a hub with a
     third of all edges is one row of the collapse table, its edges are split by the skew join.
     Null vertices and loops are ignored, an empty table gives an empty one.
@@ -61,8 +63,10 @@ def contract(edges: DataFrame, seed: int = 17) -> DataFrame:
     else:
         raise RuntimeError(f"contraction did not end within {MAX_ROUNDS} rounds")
     release(live)
-    labels = None
-    for hop in reversed(collapses):
+    if not collapses:
+        return spark.createDataFrame([], "node string, component string")
+    labels = _doubled(collapses[UNWIND:])
+    for hop in reversed(collapses[:UNWIND]):
         step = hop.select(F.col("u").alias("node"), "into")
         if labels is None:
             labels = step.select("node", F.col("into").alias("component"))
@@ -71,14 +75,26 @@ def contract(edges: DataFrame, seed: int = 17) -> DataFrame:
         labels = materialize(
             labels.union(step.join(known, "into", "left").select("node", F.coalesce("component", "into").alias("component"))), "labels"
         )
-    if labels is None:
-        return spark.createDataFrame([], "node string, component string")
     roots = labels.select(F.col("component").alias("node"), "component").distinct()
     labels = materialize(labels.union(roots), "labels")
     release(*collapses)
     return labels
 
 
+def _doubled(collapses: list[DataFrame]) -> DataFrame | None:
+    """(node, component) of the collapses of many small rounds: a vertex collapses once, so they form a forest whose paths are halved by each join."""
+    if not collapses:
+        return None
+    every = collapses[0]
+    for hop in collapses[1:]:
+        every = every.union(hop)
+    labels = materialize(every.select(F.col("u").alias("node"), F.col("into").alias("component")), "labels")
+    for _ in range((len(collapses) - 1).bit_length()):
+        far = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
+        labels = materialize(labels.join(far, "component", "left").select("node", F.coalesce("far", "component").alias("component")), "labels")
+    return labels
+
+
 def components(rows: DataFrame, id_col: str, keys: dict[str, F.Column], seed: int = 17) -> DataFrame:
     """``rows`` with a column ``component``: equal for rows linked by id or by any of ``keys``.
 
