@@ -60,6 +60,8 @@ _ASIDE = re.compile(r"\(([^()]{1,60})\)|\[([^\[\]]{1,60})\]")
 _PHRASE = re.compile("|".join(rf"\b{re.escape(p)}\b" for p in SET_PHRASES), re.IGNORECASE)
 # a word: letters with combining marks, apostrophes inside
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f]|['’ʼ](?=[^\W\d_]))*")
+_INVISIBLE = re.compile("[" + "".join(chr(c) for c in range(0x20000) if unicodedata.category(chr(c)) == "Cf") + "]")
+_BREAK, _STOP, _CLAUSE, _QUOTED = re.compile(r"[.!?\n/:;\"“”«»—–|(]"), re.compile(r"[.!?\n]"), re.compile(r"\s-\s|\)"), re.compile(r"[—–/|]\W*$|\s-\W*$")
 _TO_LATIN = {twin: plain for plain, twins in LATIN_TWINS.items() for twin in twins}
 _FROM_LATIN = {script: {} for script in ("CYRILLIC", "GREEK")}
 for _twin, _plain in _TO_LATIN.items():
@@ -105,27 +107,30 @@ def words_of(text: str) -> list[tuple[str, int, int, bool, bool]]:
     Widths, the coding of accents and invisible characters are undone; positions refer to the text as
     stored. A capitalised word inside a sentence counts as a name, unless the text is all capitals.
     """
-    kept, at = [], []
-    for i, c in enumerate(text):
-        if c.isascii():
-            kept.append(c)
-            at.append(i)
-        elif unicodedata.category(c) != "Cf":
-            for d in unicodedata.normalize("NFKC", c):
-                kept.append(d)
+    if text.isascii() or unicodedata.is_normalized("NFKC", text) and not _INVISIBLE.search(text):
+        flat, at = text, range(len(text))
+    else:
+        kept, at = [], []
+        for i, c in enumerate(text):
+            if c.isascii():
+                kept.append(c)
                 at.append(i)
-    flat = "".join(kept)
+            elif unicodedata.category(c) != "Cf":
+                for d in unicodedata.normalize("NFKC", c):
+                    kept.append(d)
+                    at.append(i)
+        flat = "".join(kept)
     asides = [m.span() for m in _ASIDE.finditer(flat) if len(_WORD.findall(m.group())) <= ASIDE_WORDS] + [m.span() for m in _PHRASE.finditer(flat)]
     letters = [c for c in flat if c.isalpha()]
     shouting = sum(c.isupper() for c in letters) > 0.6 * max(1, len(letters))
     out, last = [], 0
     for m in _WORD.finditer(flat):
         gap = flat[last : m.start()]
-        sentence = not out or bool(re.search(r"[.!?\n/:;\"“”«»—–|(]", gap))
-        clause = sentence or "," in gap or bool(re.search(r"\s-\s|\)", gap))
+        sentence = not out or gap != " " and bool(_BREAK.search(gap))
+        clause = sentence or gap != " " and ("," in gap or bool(_CLAUSE.search(gap)))
         word = unicodedata.normalize("NFC", m.group())
         # after a dash, a capital is that of whoever is quoted
-        quoted = bool(re.search(r"[—–/|]\W*$|\s-\W*$", gap)) and not re.search(r"[.!?\n]", gap)
+        quoted = gap != " " and bool(_QUOTED.search(gap)) and not _STOP.search(gap)
         name = word[0].isupper() and (not sentence or quoted) and not shouting or any(a <= m.start() < b for a, b in asides)
         out.append((_one_script(word).lower(), at[m.start()], at[m.end() - 1] + 1, name, clause))
         last = m.end()
@@ -290,7 +295,10 @@ def fit_models(samples: DataFrame, corpus: DataFrame | None = None) -> Models:
     models = Models(given)
     if corpus is None or not given:
         return models
-    seen = identify(corpus.select(F.lit(0).alias("record_id"), "label", "text").where("label is not null"), models, label=F.col("label"), keep_text=True)
+    # a few texts per spelling of a label are enough to choose from; the limit is applied before any shuffle
+    by_label = W.partitionBy("label").orderBy(F.xxhash64("text"), "text")
+    labelled = corpus.where("label is not null").select("label", "text").withColumn("r", F.row_number().over(by_label)).where(F.col("r") <= 3 * MAX_TEXTS)
+    seen = identify(labelled.select(F.lit(0).alias("record_id"), "label", "text"), models, label=F.col("label"), keep_text=True)
     sure = seen.where("size(segments) = 1 and confidence > 0.99 and named = segments[0].language").select(F.col("named").alias("language"), "text")
     return Models(given + _few(sure, MAX_TEXTS))
 
