@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 _cleanup: list = []
+#: Intermediate files of this process lie under one folder of its own, so that jobs do not touch each other's.
+_RUN = uuid.uuid4().hex
 
 
 def get_session(app: str = "quipwright", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -70,6 +72,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def work_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quipwright/{_RUN}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate files of this process; frames built on them can no longer be read."""
+    _delete(spark, work_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 @atexit.register
 def _remove_local() -> None:
     for path in _cleanup:
@@ -83,7 +99,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     the planner, so joins against a small intermediate may be broadcast by size.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quipwright/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._quipwright_path = path
@@ -93,12 +109,8 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
 def release(*frames: DataFrame) -> None:
     """Delete the files of materialized frames that no later plan reads."""
     for df in frames:
-        path = getattr(df, "_quipwright_path", None)
-        if path is None:
-            continue
-        jvm = df.sparkSession.sparkContext._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        if path := getattr(df, "_quipwright_path", None):
+            _delete(df.sparkSession, path)
 
 
 def spread(scan: DataFrame) -> DataFrame:

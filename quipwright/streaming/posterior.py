@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quipwright.functions.ratings import clamp
-from quipwright.session import shared_dir
+from quipwright.session import work_dir
 
 
 def _work(spark: SparkSession, name: str) -> tuple[str, str]:
-    base = f"{shared_dir(spark)}/quipwright/{name}-{uuid.uuid4().hex}"
+    base = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     return f"{base}/out", f"{base}/state"
 
 
