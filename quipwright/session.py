@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -117,8 +118,12 @@ def spread(scan: DataFrame) -> DataFrame:
     """A scan with filters, dealt out over all cores where its files make fewer splits than there are cores.
 
     For work that is bound by Python: so few splits mean at most cores x split size of input, which is
-    cheap to move; anything larger stays where it is read.
+    cheap to move; anything larger stays where it is read. A frame that is more than a scan is left
+    alone: its splits are not known before it runs.
     """
+    plan = scan._jdf.queryExecution().optimizedPlan().toString()
+    if re.search(r"\b(Join|Aggregate|Window|Sort|Repartition\w*|RebalancePartitions|Limit|Union|Generate|\w*InPandas|\w*InArrow)\b", plan):
+        return scan
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 

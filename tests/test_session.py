@@ -17,5 +17,6 @@ def test_spread_deals_out_only_scans_of_few_splits(spark, tmp_path):
     cores = spark.sparkContext.defaultParallelism
     spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
     assert se.spread(spark.read.parquet(f"{tmp_path}/one")).rdd.getNumPartitions() == cores
-    many = spark.range(100).repartition(cores + 3)
-    assert se.spread(many) is many
+    many = spark.range(0, 100, 1, cores + 3)
+    joined = spark.read.parquet(f"{tmp_path}/one").join(spark.range(5), "id")
+    assert se.spread(many) is many and se.spread(joined) is joined
