@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quipwright.llm.lookalike import LATIN_TWINS, blank
-from quipwright.session import spread
+from quipwright.session import default_partitions, spread
 
 ORDER = 4
 #: At most this many labelled sentences, and labelled texts of the corpus, per language are used to fit the models.
@@ -298,7 +298,8 @@ def fit_models(samples: DataFrame, corpus: DataFrame | None = None) -> Models:
     # a few texts per spelling of a label are enough to choose from; the limit is applied before any shuffle
     by_label = W.partitionBy("label").orderBy(F.xxhash64("text"), "text")
     labelled = corpus.where("label is not null").select("label", "text").withColumn("r", F.row_number().over(by_label)).where(F.col("r") <= 3 * MAX_TEXTS)
-    seen = identify(labelled.select(F.lit(0).alias("record_id"), "label", "text"), models, label=F.col("label"), keep_text=True)
+    dealt = labelled.select(F.lit(0).alias("record_id"), "label", "text").repartition(default_partitions(corpus.sparkSession))
+    seen = identify(dealt, models, label=F.col("label"), keep_text=True)
     sure = seen.where("size(segments) = 1 and confidence > 0.99 and named = segments[0].language").select(F.col("named").alias("language"), "text")
     return Models(given + _few(sure, MAX_TEXTS))
 
