@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quipwright.llm.tokens import with_token_counts
-from quipwright.session import default_partitions, materialize
+from quipwright.session import default_partitions, materialize, spread
 
 CAPACITY = 2048
 #: A container this full is not opened again.
@@ -133,7 +133,7 @@ def _merge(boxes: DataFrame, capacity: int, round_: int) -> DataFrame:
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    return pack(with_token_counts(documents.select("doc_id", "text")), capacity)
+    return pack(with_token_counts(spread(documents.select("doc_id", "text"))), capacity)
 
 
 def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
