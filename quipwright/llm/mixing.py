@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quipwright.llm.tokens import with_token_counts
-from quipwright.session import materialize
+from quipwright.session import materialize, spread
 
 #: Ranks fall into this many bins per source; only the bin in which a source's budget ends is sorted.
 BINS = 4096
@@ -61,7 +61,7 @@ class Mix:
         self.targets = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in given}
         self.wanted = self.spark.createDataFrame([(s, w, r) for s, (w, r) in self.targets.items()], "source string, target_share double, max_repeats int")
         mass = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0)
-        chosen = documents.where("doc_id is not null").join(F.broadcast(self.wanted.select("source")), "source")  # at most MAX_SOURCES rows
+        chosen = spread(documents.where("doc_id is not null")).join(F.broadcast(self.wanted.select("source")), "source")  # at most MAX_SOURCES rows
         sized = with_token_counts(chosen.select("doc_id", "source", "text", mass.alias("w")))
         self.docs = materialize(sized.groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n_tokens"), F.max("w").alias("w")).where("n_tokens > 0"), "sized")
         held = {r["source"]: r for r in self.docs.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.sum(F.col("n_tokens") * F.col("w")).alias("tw")).collect()}
