@@ -59,10 +59,9 @@ def _grow(base: np.uint64, n: int) -> np.ndarray:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(32))
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -86,10 +85,12 @@ def super_kmers(points: np.ndarray, length: int = LENGTH, seed: int = SEED) -> t
     step, parts = 1 << 20, []
     for at in range(0, len(points) - length + 1, step):
         piece = points[at : at + step + length - 1].astype(np.uint64)
-        with np.errstate(over="ignore"):
-            mixed = _mix(piece + np.uint64(1))
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * _powers(_PRIME, len(piece)), dtype=np.uint64)])
-            grams = (sums[seed:] - sums[:-seed]) * _powers(_INVERSE, len(piece) - seed + 1)
+        # arithmetic modulo 2**64: sums of code points times powers give the hash of every k-gram by subtraction
+        mixed = _mix(piece + np.uint64(1))
+        sums = np.empty(len(piece) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(mixed * _powers(_PRIME, len(piece)), dtype=np.uint64, out=sums[1:])
+        grams = (sums[seed:] - sums[:-seed]) * _powers(_INVERSE, len(piece) - seed + 1)
         parts.append(_sliding_min(_mix(grams), length - seed + 1))
     least = np.concatenate(parts)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
