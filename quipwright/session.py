@@ -38,9 +38,10 @@ def get_session(app: str = "quipwright", cores: int | str = "*", **conf: str) ->
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per context, unless their PYTHONPATH has it."""
+    """Send this package to the Python workers, once per context, unless they run here and their PYTHONPATH has it."""
     package = Path(__file__).resolve().parent
-    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark.sparkContext, "_quipwright_shipped", False):
+    here = spark.sparkContext.master.startswith("local") and str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if here or getattr(spark.sparkContext, "_quipwright_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="quipwright-code-")  # read by the driver only, which serves it to the executors
     _cleanup.append(folder)
