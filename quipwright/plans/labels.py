@@ -48,13 +48,24 @@ def thirty_features(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("record_id", *(F.round(c, 6).alias(c) for c in scored.columns if c != "record_id"))
 
 
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(F.col("text").rlike(r"^[0-9A-Za-z_]+")).select("doc_id", F.regexp_replace("text", r"^([0-9A-Za-z_]+)", "<$1/>").alias("t"))
+
+
 @P.query(r"""
 with m as (select doc_id, regexp_replace(text, '^(\w+)', '<\1/>') t from documents where regexp_matches(text, '^\w+'))
 select doc_id, regexp_extract(t, '<([^/>]*)/>', 1) original, substr(regexp_replace(t, '<[^/>]*/>', 'Umbrella'), 1, 60) edited, substr(regexp_replace(t, '<([^/>]*)/>', '\1'), 1, 60) restored from m""")
 def marker_edits(spark: SparkSession, d: str) -> DataFrame:
-    marked = table(spark, d, "documents").where(F.col("text").rlike(r"^[0-9A-Za-z_]+")).select("doc_id", F.regexp_replace("text", r"^([0-9A-Za-z_]+)", "<$1/>").alias("t"))
     t = F.col("t")
-    return marked.select("doc_id", tx.marked_word(t).alias("original"), F.substring(tx.apply_edit(t, F.lit("Umbrella")), 1, 60).alias("edited"), F.substring(tx.unmark(t), 1, 60).alias("restored"))
+    return _marked(spark, d).select("doc_id", tx.marked_word(t).alias("original"), F.substring(tx.apply_edit(t, F.lit("Umbrella")), 1, 60).alias("edited"), F.substring(tx.unmark(t), 1, 60).alias("restored"))
+
+
+@P.query(r"""
+with m as (select doc_id, regexp_replace(text, '^(\w+)', '<\1/>') t from documents where regexp_matches(text, '^\w+'))
+select doc_id, regexp_extract(t, '<([^/>]*)/>', 1) original, regexp_replace(t, '<[^/>]*/>', 'Umbrella') edited, regexp_replace(t, '<([^/>]*)/>', '\1') restored from m""")
+def marker_edits_whole(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("t")
+    return _marked(spark, d).select("doc_id", tx.marked_word(t).alias("original"), tx.apply_edit(t, F.lit("Umbrella")).alias("edited"), tx.unmark(t).alias("restored"))
 
 
 @P.query(r"""
