@@ -80,12 +80,29 @@ def work_dir(spark: SparkSession) -> str:
 
 def clean(spark: SparkSession) -> None:
     """Delete all intermediate files of this process; frames built on them can no longer be read."""
-    _delete(spark, work_dir(spark))
+    delete(spark, work_dir(spark))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, at = _hadoop(spark, path)
+    files.delete(at, True)
+
+
+def listing(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none where there is no such folder."""
+    files, at = _hadoop(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(at)) if files.exists(at) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file, a marker that what was written before it counts."""
+    files, at = _hadoop(spark, path)
+    files.create(at, True).close()
 
 
 @atexit.register
@@ -94,7 +111,7 @@ def _remove_local() -> None:
         shutil.rmtree(path, ignore_errors=True)
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def materialize(df: DataFrame, name: str = "t", *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at files every executor can read.
 
     Unlike an RDD checkpoint the files are columnar and compressed, and their sizes are known to
@@ -102,7 +119,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._quipwright_path = path
     return back
@@ -112,7 +129,7 @@ def release(*frames: DataFrame) -> None:
     """Delete the files of materialized frames that no later plan reads."""
     for df in frames:
         if path := getattr(df, "_quipwright_path", None):
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
 
 
 def spread(scan: DataFrame) -> DataFrame:
