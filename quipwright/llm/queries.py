@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quipwright.llm import consensus, history, languages, lookalike, mixing, moderation, packing, spans, splits
-from quipwright.session import materialize, shared_dir, table
+from quipwright.session import materialize, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -44,8 +42,7 @@ def p3_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    batch = history.lane_batch(table(spark, d, "harvest_records"), table(spark, d, "harvest_files"))
-    return history.History(spark, f"{shared_dir(spark)}/quipwright/history-{uuid.uuid4().hex}").ingest(batch)
+    return history.repeats(history.lane_batch(table(spark, d, "harvest_records"), table(spark, d, "harvest_files")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
