@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from quipwright.operators.schema_drift import Drift
+from quipwright.operators.schema_drift import Drift, Registry
 from quipwright.plans.base import Plans
-from quipwright.session import table
+from quipwright.session import delete, table, work_dir
 
 P = Plans()
 
@@ -17,7 +19,11 @@ def _drift(spark: SparkSession, d: str) -> Drift:
 
 @P.query()
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _drift(spark, d).changes().select("file", "field", "change").distinct()
+    """All files go through a registry of schemas; it is new here, so they arrive as one update."""
+    registry = Registry(spark, f"{work_dir(spark)}/registry-{uuid.uuid4().hex}")
+    found = registry.update(table(spark, d, "harvest_raw"), table(spark, d, "harvest_files").where("feed is not null"))
+    delete(spark, registry.path)
+    return found.select("file", "field", "change").distinct()
 
 
 @P.query()
@@ -28,3 +34,8 @@ def p6_versions(spark: SparkSession, d: str) -> DataFrame:
 @P.query()
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
     return _drift(spark, d).table()
+
+
+@P.query()
+def p6_typed(spark: SparkSession, d: str) -> DataFrame:
+    return _drift(spark, d).typed()
