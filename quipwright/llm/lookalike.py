@@ -24,9 +24,9 @@ LATIN_TWINS = {
     "u": "ս", "v": "ѵν", "w": "ԝ", "x": "х", "y": "уγ", "ə": "ә", "æ": "ӕ", "ë": "ё", "Ë": "Ё", "ï": "ї", "Ï": "Ї",
 }
 # Marks drawn alike.
-MARK_TWINS = {"-": "‐‑⁃˗", ";": ";", "·": "·∙⋅", "!": "ǃ", ":": "꞉"}
+MARK_TWINS = {"-": "‐‑⁃˗\u2012\u2212\u058a", ";": ";", "·": "·∙⋅", "!": "ǃ", ":": "꞉"}
 #: Compatibility decompositions of these kinds change how a character looks; all other kinds do not.
-VISIBLE = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<vertical>", "<small>")
+VISIBLE = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<vertical>")
 INVISIBLE_EXTRA = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0}
 
 
@@ -60,7 +60,15 @@ def alike_pairs() -> list[tuple[str, str]]:
     pairs += list(_compatible())
     for table in (LATIN_TWINS, MARK_TWINS):
         pairs += [(twin, plain) for plain, twins in table.items() for twin in twins]
-    return pairs
+    return pairs + list(_accented({twin: plain for plain, twins in LATIN_TWINS.items() for twin in twins}))
+
+
+def _accented(plain: dict[str, str]) -> Iterator[tuple[str, str]]:
+    """Letters with accents whose bare letter has a twin, with the twin under the same accents: a Greek and a Latin o with acute."""
+    for c in range(0x80, 0x30000):
+        bare, *marks = unicodedata.normalize("NFD", chr(c))
+        if marks and bare in plain:
+            yield unicodedata.normalize("NFC", chr(c)), unicodedata.normalize("NFC", plain[bare] + "".join(marks))
 
 
 def classes(pairs: Iterable[tuple[str, str]]) -> dict[str, str]:
@@ -160,9 +168,10 @@ class Rewriter:
         if not text:
             return text
         text = unicodedata.normalize("NFC", text)
-        for _ in range(4):  # composing may form another member, which is rewritten in turn
-            if not self._has_member(text):
-                break
+        seen: set[str] = set()
+        # composing may form another member, which is rewritten in turn, until nothing changes
+        while self._has_member(text) and text not in seen:
+            seen.add(text)
             text = unicodedata.normalize("NFC", self._greedy(text))
         return text
 
@@ -213,3 +222,16 @@ def alike_pairs_of(records: DataFrame) -> DataFrame:
     few = rows.join(mixed, "f", "left_semi").select("record_id", "f", "s")
     a, b = few.select(F.col("record_id").alias("record_a"), "f", F.col("s").alias("sa")), few.select(F.col("record_id").alias("record_b"), "f", F.col("s").alias("sb"))
     return a.join(b, "f").where("record_a < record_b and sa <> sb").select("record_a", "record_b").distinct()
+
+
+def alike_classes(records: DataFrame) -> DataFrame:
+    """(record_id, class_id, class_size, strings, links) of the records of the two lanes whose text is not blank.
+
+    class_id is the least record of the form, class_size its records, strings its different strings and links
+    the records that a record is paired with: those of another string. Counts only, however large a class is.
+    """
+    rows = alike_records(records).where("record_id is not null").select("record_id", F.sha2("form", 256).alias("f"), F.sha2("text", 256).alias("s")).distinct()
+    strings = rows.groupBy("f", "s").agg(F.count("*").alias("same"), F.min("record_id").alias("first"))
+    forms = strings.groupBy("f").agg(F.min("first").alias("class_id"), F.sum("same").alias("class_size"), F.count("*").alias("strings"))
+    counted = rows.join(strings.select("f", "s", "same"), ["f", "s"]).join(forms, "f")
+    return counted.select("record_id", "class_id", "class_size", "strings", (F.col("class_size") - F.col("same")).alias("links"))

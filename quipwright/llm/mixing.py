@@ -9,6 +9,8 @@ from quipwright.session import materialize, spread
 
 #: Ranks fall into this many bins per source; only the bin in which a source's budget ends is sorted.
 BINS = 4096
+#: Cells per octave of the histogram of weights from which the inclusion probabilities are fitted.
+GRID = 16
 #: The wanted mix is a small table given by hand; more rows than this are refused.
 MAX_SOURCES = 10_000
 
@@ -41,16 +43,18 @@ def budgets(available: dict[str, float], targets: dict[str, tuple[float, int]],
 class Mix:
     """``documents(doc_id, text, source)`` mixed to ``targets(source, target_share, max_repeats)``.
 
-    The expected number of copies of a document is its source's budget over what the source holds,
-    times its weight where ``weight`` names a column. Its whole part is certain; its fraction is the
-    inclusion probability of a Pareto sample: documents are ranked by u / (1 - u) over p / (1 - p),
-    u drawn by hashing the id, and taken in that order until the source's remaining tokens are used
-    (the document at the border where it brings the sum closer). Documents without id, source or
-    tokens are not used; rows of one id are one document. Targets named twice add their shares; a null
-    share or repeat counts as 0. Sources without target are left out.
+    Every document of a source is used as often as its budget holds the source whole; these copies are
+    certain. For the rest of the budget a Pareto sample of the source's documents is drawn, each once: the
+    inclusion probability of a document is in proportion to its ``weight``, a column's name or expression,
+    by default its tokens, and at most 1. Documents are ranked by u / (1 - u) over p / (1 - p), u drawn by
+    hashing the id, and taken in that order until the budget is used (the document at the border where it
+    brings the sum closer). No document is used oftener than its source needs, nor than max_repeats.
+    Documents of no or negative weight have only certain copies. Documents without id, source or tokens are
+    not used; rows of one id are one document. Targets named twice add their shares; a null share or repeat
+    counts as 0. Sources without target are left out.
     """
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 11, weight: str | None = None):
+    def __init__(self, documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 11, weight: str | F.Column = "n_tokens"):
         self.spark = documents.sparkSession
         self.seed = seed
         given = targets.where("source is not null").groupBy("source").agg(
@@ -60,47 +64,51 @@ class Mix:
             raise ValueError(f"more than {MAX_SOURCES} sources in the mix")
         self.targets = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in given}
         self.wanted = self.spark.createDataFrame([(s, w, r) for s, (w, r) in self.targets.items()], "source string, target_share double, max_repeats int")
-        mass = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0)
         chosen = spread(documents.where("doc_id is not null")).join(F.broadcast(self.wanted.select("source")), "source")  # at most MAX_SOURCES rows
-        sized = with_token_counts(chosen.select("doc_id", "source", "text", mass.alias("w")))
-        self.docs = materialize(sized.groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n_tokens"), F.max("w").alias("w")).where("n_tokens > 0"), "sized")
-        held = {r["source"]: r for r in self.docs.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.sum(F.col("n_tokens") * F.col("w")).alias("tw")).collect()}
-        self.available = {s: (int(r["t"]), int(r["n"])) for s, r in held.items()}
+        own = weight if isinstance(weight, F.Column) or weight != "n_tokens" else F.lit(0.0)
+        sized = with_token_counts(chosen.select("doc_id", "source", "text", (F.col(own) if isinstance(own, str) else own).cast("double").alias("w")))
+        docs = sized.groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n_tokens"), F.max("w").alias("w")).where("n_tokens > 0")
+        mass = F.col("n_tokens").cast("double") if isinstance(weight, str) and weight == "n_tokens" else F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0))
+        self.docs = materialize(docs.withColumn("w", mass), "sized")
+        held = self.docs.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()
+        self.available = {r["source"]: (int(r["t"]), int(r["n"])) for r in held}
         self.budget = budgets({s: float(t) for s, (t, _) in self.available.items()}, self.targets, total)
-        self.rate = {s: self.budget[s] / r["tw"] for s, r in held.items() if r["tw"]}
-        if weight:
-            self._fit_rates()
+        # copies of the whole source, and the tokens that the sample must bring
+        self.whole = {s: min(self.targets[s][1], int(self.budget[s] / t + 1e-9)) for s, (t, _) in self.available.items()}
+        self.rest = {s: max(0.0, self.budget[s] - self.whole[s] * t) if self.whole[s] < self.targets[s][1] else 0.0 for s, (t, _) in self.available.items()}
+        self.factor = self._factors()
 
-    def _fit_rates(self) -> None:
-        """Copies are capped at max_repeats; what the cap cuts off goes to the source's other documents."""
-        for _ in range(8):
-            rows = self._expected().withColumn("capped", F.col("copies") >= F.col("max_repeats")).groupBy("source").agg(
-                F.sum(F.when(F.col("capped"), F.col("n_tokens") * F.col("max_repeats")).otherwise(0)).alias("fixed"),
-                F.sum(F.when(~F.col("capped"), F.col("n_tokens") * F.col("w")).otherwise(0.0)).alias("free"),
-            ).collect()
-            new = {r["source"]: (self.budget[r["source"]] - r["fixed"]) / r["free"] if r["free"] else self.rate[r["source"]] for r in rows if r["source"] in self.rate}
-            if all(abs(new[s] - self.rate[s]) <= 1e-9 * self.rate[s] for s in new):
-                break
-            self.rate |= {s: max(v, self.rate[s]) for s, v in new.items()}
+    def _factors(self) -> dict[str, float]:
+        """Per source the factor from weight to inclusion probability, so that the expected tokens of the sample are the rest of its budget.
 
-    def _expected(self) -> DataFrame:
-        plan = self.spark.createDataFrame([(s, float(self.rate.get(s, 0.0)), float(self.budget[s]), self.targets[s][1]) for s in self.targets], "source string, rate double, budget double, max_repeats int")
-        docs = self.docs.join(F.broadcast(plan), "source")
-        # a hair below a whole number, from rounding, is that number
-        return docs.withColumn("copies", F.least(F.col("max_repeats").cast("double"), F.col("rate") * F.col("w") + 1e-9))
+        Weights too large for it are certain. From which on they are is found on a histogram of the weights by
+        GRID-ths of an octave, so one pass does; the sample's size is exact whatever the histogram's grain.
+        """
+        octave = F.floor(F.log2("w") * GRID)
+        cells = self.docs.where("w > 0").groupBy("source", octave.alias("cell")).agg(F.sum("n_tokens").alias("t"), F.sum(F.col("n_tokens") * F.col("w")).alias("tw"), F.max("w").alias("most"))
+        plan = self.spark.createDataFrame([(s, r) for s, r in self.rest.items() if r > 0], "source string, rest double")
+        above = W.partitionBy("source").orderBy(F.desc("cell")).rowsBetween(W.unboundedPreceding, -1)
+        below = W.partitionBy("source").orderBy(F.desc("cell")).rowsBetween(0, W.unboundedFollowing)
+        tried = cells.join(F.broadcast(plan), "source").withColumn(  # at most MAX_SOURCES rows
+            "factor", (F.col("rest") - F.coalesce(F.sum("t").over(above), F.lit(0))) / F.sum("tw").over(below)
+        )
+        # the first cell from above, the cells before which are certain, in which none need be
+        fits = tried.where("factor > 0 and factor * most <= 1").groupBy("source").agg(F.max_by("factor", "cell").alias("factor"))
+        return {r["source"]: float(r["factor"]) for r in fits.collect()}
 
     def rows(self) -> DataFrame:
         """(doc_id, source, n_tokens, copies) of the documents used."""
-        base = self._expected().withColumn("whole", F.floor("copies").cast("int")).withColumn("p", F.greatest(F.col("copies") - F.col("whole") - 2e-9, F.lit(0.0)))
+        each = [(s, self.whole[s], float(self.rest[s]), float(self.factor.get(s, "inf"))) for s in self.available]
+        plan = self.spark.createDataFrame(each, "source string, whole int, left double, factor double")
+        base = self.docs.join(F.broadcast(plan), "source")  # at most MAX_SOURCES rows
+        p = F.when((F.col("left") > 0) & (F.col("w") > 0), F.least(F.lit(1.0), F.col("factor") * F.col("w")))
         u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(self.seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-        odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-        rank = F.when(F.col("p") > 0, odds / (1 + odds))
-        ranked = materialize(base.withColumn("q", rank).withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.col("q") * BINS))).select("doc_id", "source", "n_tokens", "whole", "budget", "q", "bin"), "ranked")
-        certain = ranked.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("whole")).alias("certain"), F.max("budget").alias("budget"))
-        left = certain.select("source", (F.col("budget") - F.col("certain")).alias("left"))
+        odds = (u / (1 - u)) * ((1 - F.col("p")) / F.col("p"))
+        ranked = base.withColumn("p", p).withColumn("q", odds / (1 + odds)).withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.col("q") * BINS)))
+        ranked = materialize(ranked.select("doc_id", "source", "n_tokens", "whole", "left", "q", "bin"), "ranked")
         upto = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-        bins = ranked.where("bin is not null").groupBy("source", "bin").agg(F.sum("n_tokens").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0))).join(left, "source")
-        state = bins.select("source", "bin", "before", "left", F.when(F.col("before") + F.col("t") <= F.col("left"), "in").when(F.col("before") < F.col("left"), "border").otherwise("out").alias("state"))
+        bins = ranked.where("bin is not null").groupBy("source", "bin").agg(F.sum("n_tokens").alias("t"), F.max("left").alias("left")).withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0)))
+        state = bins.select("source", "bin", "before", F.when(F.col("before") + F.col("t") <= F.col("left"), "in").when(F.col("before") < F.col("left"), "border").otherwise("out").alias("state"))
         placed = ranked.join(state, ["source", "bin"], "left")
         inside = W.partitionBy("source", "bin").orderBy("q", "doc_id").rowsBetween(W.unboundedPreceding, -1)
         border = placed.where("state = 'border'").withColumn("at", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))

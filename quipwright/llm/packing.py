@@ -15,14 +15,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quipwright.llm.tokens import with_token_counts
-from quipwright.session import default_partitions, materialize, spread
+from quipwright.session import materialize, spread
 
 CAPACITY = 2048
 #: A container this full is not opened again.
 NEARLY_FULL = 0.99
 #: Items packed together at most; the bound of memory and time of one step.
 GROUP = 20_000
-FAN_IN, MAX_ROUNDS = 8, 12
+#: A round that leaves more than this part of its boxes joined nothing worth another of the same width.
+STALLED = 0.999
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
@@ -96,6 +97,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Every row comes out whole: only a document above the capacity has several pieces, all but the last
     of which fill a container alone. Documents of no tokens are items of size 0 and share a container
     with others. Rows with a null or repeated id are items like any other. An empty table gives none.
+    Underfull containers meet in groups of GROUP, dealt anew each round; rounds go on while one of them joins
+    any, and fewer are open each time, so the tree narrows to one group by itself.
     """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
@@ -103,14 +106,21 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     items = materialize(_pack_groups(pieces, "n_tokens", capacity, 0), "items")
     open_boxes = items.where(F.col("box_size") < NEARLY_FULL * capacity).groupBy("box").agg(F.max("box_size").alias("size"))
     open_boxes = materialize(open_boxes, "open")
-    moves = None  # (box, into, into_size): composed so far
-    parts = default_partitions(docs.sparkSession)
-    for round_ in range(1, MAX_ROUNDS + 1):
-        n = open_boxes.count()
-        if n < 2:
-            break
-        parts = max(1, min(-(-parts // FAN_IN), -(-n // GROUP) if n > GROUP else 1))
-        grouped = open_boxes.repartition(parts, F.xxhash64("box", F.lit(round_))).sortWithinPartitions(F.desc("size"), "box")
+    moves = join_boxes(open_boxes, capacity)
+    if moves is not None:
+        items = items.join(moves, "box", "left").withColumns({"box": F.coalesce("into", "box"), "box_size": F.coalesce("into_size", "box_size")})
+    return items.select("doc_id", "piece", "token_start", "n_tokens", F.col("box").alias("container_id"), F.col("box_size").alias("container_tokens"))
+
+
+def join_boxes(open_boxes: DataFrame, capacity: int) -> DataFrame | None:
+    """(box, into, into_size): where each of ``open_boxes(box, size)`` ends when they are packed as items, round by round; None if there is no round."""
+    moves = None  # composed so far
+    round_, stalled = 0, 0
+    while (n := open_boxes.count()) > 1:
+        round_ += 1
+        parts = -(-n // GROUP)
+        # boxes are dealt by hash, so every task gets all sizes, and as many tasks work as there are groups of boxes
+        grouped = open_boxes.repartition(parts, F.xxhash64("box", F.lit(round_)))
         packed = materialize(_merge(grouped, capacity, round_), "round")
         moves = packed if moves is None else materialize(
             moves.join(packed.select(F.col("box").alias("into"), F.col("into").alias("next"), F.col("into_size").alias("next_size")), "into", "left").select(
@@ -120,11 +130,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         )
         after = packed.where(F.col("into_size") < NEARLY_FULL * capacity).groupBy("into").agg(F.max("into_size").alias("size"))
         open_boxes = materialize(after.select(F.col("into").alias("box"), "size"), "open")
-        if parts == 1 and packed.select("into").distinct().count() > 0.999 * n:
+        stalled = stalled + 1 if packed.select("into").distinct().count() > STALLED * n else 0
+        if stalled and (parts == 1 or stalled > 1):
             break
-    if moves is not None:
-        items = items.join(moves, "box", "left").withColumns({"box": F.coalesce("into", "box"), "box_size": F.coalesce("into_size", "box_size")})
-    return items.select("doc_id", "piece", "token_start", "n_tokens", F.col("box").alias("container_id"), F.col("box_size").alias("container_tokens"))
+    return moves
 
 
 def _merge(boxes: DataFrame, capacity: int, round_: int) -> DataFrame:

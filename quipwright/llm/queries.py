@@ -65,6 +65,10 @@ def p7_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.alike_records(table(spark, d, "harvest_records")).select("record_id", "form")
 
 
+def p7_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.alike_classes(table(spark, d, "harvest_records"))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
@@ -96,7 +100,7 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p2_found, p2_scores, p2_rates, p3_found, p3_segments, p4_found, p5_found, p5_judges, p5_agreement, p7_found, p7_forms, p8_containers, p8_report, p9_mix, p9_shares,
+        p1_found, p1_splits, p2_found, p2_scores, p2_rates, p3_found, p3_segments, p4_found, p5_found, p5_judges, p5_agreement, p7_found, p7_forms, p7_classes, p8_containers, p8_report, p9_mix, p9_shares,
         p10_found, p10_spans, p10_share,
     )
 }

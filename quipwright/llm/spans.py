@@ -10,8 +10,9 @@ same text occurs. A window can only recur under the same minimiser, so the work
 3. where one minimiser has several different strings, one copy of each string travels packed to the
    minimiser's bucket, is cut into its windows, and the windows are counted exactly.
 
-Cutting is cheap next to moving, so it is done twice. Step 2 asks a one-hash Bloom filter of fixed size
-before it sends a row and an exact semi-join afterwards: a full filter costs traffic, never a result.
+Cutting is cheap next to moving, so it is done in every step; whole texts never travel. Steps 2 and 3 ask a
+one-hash Bloom filter of bounded size before they send a row and an exact join afterwards: a full filter
+costs traffic, never a result.
 
 Nothing is normalised; positions are code points of the text as stored.
 """
@@ -30,8 +31,8 @@ from quipwright.session import materialize, release, spread
 LENGTH = 200
 #: Length of the k-grams that serve as minimisers; longer ones are rarer by chance but cut more super-k-mers.
 SEED = 96
-#: Bits of the filter of shared minimisers, 16 MB; the only thing broadcast, whatever the data.
-FILTER_BITS = 27
+#: A filter has so many bits per entry, rounded up to a power of two of at most MOST_BITS (32 MB); nothing else is broadcast.
+BITS_PER_ENTRY, LEAST_BITS, MOST_BITS = 8, 16, 28
 _PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
 
@@ -125,15 +126,57 @@ def minimisers(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return docs.mapInArrow(run, "doc long, m long")
 
 
-def _filter(shared: DataFrame) -> np.ndarray:
-    """Bit set of the low FILTER_BITS of the shared minimisers; at most 2**(FILTER_BITS - 6) words reach the driver."""
-    low = F.col("m").bitwiseAND((1 << FILTER_BITS) - 1)
-    words = shared.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(m & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+def _filter(entries: DataFrame, key: str = "m") -> np.ndarray:
+    """Bit set of the low bits of ``key``; at most 2**(MOST_BITS - 6) words reach the driver."""
+    wide = max(LEAST_BITS, min(MOST_BITS, (BITS_PER_ENTRY * entries.count()).bit_length()))
+    low = F.col(key).bitwiseAND((1 << wide) - 1)
+    words = entries.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({key} & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (wide - 6), np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return out.view(np.uint64)
 
 
+def _known_to(keep: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    low = keys & np.uint64(len(keep) * 64 - 1)
+    return (keep[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _owner_key(doc: int, m: np.ndarray, s: list[bytes]) -> np.ndarray:
+    """A hash of (document, minimiser, digest) for a filter of strings and the documents they are taken from."""
+    head = np.frombuffer(b"".join(x[:8] for x in s), np.uint64)
+    return _mix(head ^ _mix(m.view(np.uint64) * _PRIME + np.uint64(doc & (1 << 64) - 1)))
+
+
+def owned_strings(docs: DataFrame, place: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(m, s, lo, hi, string): one copy of every super-k-mer of ``place(m, s, doc, lo, hi)``, cut from the document named there."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, m, s = (batch.column(i).to_pylist() for i in range(3))
+            out = [_owner_key(d, np.array([x], np.int64), [y]) for d, x, y in zip(doc, m, s)]
+            yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64) if out else [], pa.int64())], names=["k"])
+
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(materialize(place.select("doc", "m", "s").mapInArrow(keys, "k long"), "owners"), "k"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                points = _pack(text)
+                least, first, windows = super_kmers(points, length)
+                ends = (first + windows + length - 1).tolist()
+                s = [_digest(points[a:b]) for a, b in zip(first.tolist(), ends)]
+                if s:
+                    for i in np.flatnonzero(_known_to(sent.value, _owner_key(key, least, s))).tolist():
+                        out.append((key, int(least[i : i + 1].view(np.int64)[0]), s[i], text[int(first[i]) : ends[i]]))
+            columns = zip(*out) if out else ([], [], [], [])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string())
+            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["doc", "m", "s", "string"])
+
+    cut_ = docs.mapInArrow(run, "doc long, m long, s binary, string string")
+    return cut_.join(place, ["m", "s", "doc"]).dropDuplicates(["m", "s"]).select("m", "s", "lo", "hi", "string")
+
+
 def cut(docs: DataFrame, keep: np.ndarray | None = None, length: int = LENGTH) -> DataFrame:
     """(doc, at, n, m, s): super-k-mers of ``docs(doc, text)``: first window, number of windows, minimiser, digest of the string.
 
@@ -149,8 +192,7 @@ def cut(docs: DataFrame, keep: np.ndarray | None = None, length: int = LENGTH) -
                 points = _pack(text)
                 least, first, windows = super_kmers(points, length)
                 if known is not None:
-                    low = least & np.uint64((1 << FILTER_BITS) - 1)
-                    hit = (known[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) > 0
+                    hit = _known_to(known, least)
                     least, first, windows = least[hit], first[hit], windows[hit]
                 doc.append(np.full(len(first), key, np.int64))
                 at.append(first.astype(np.int64))
@@ -198,19 +240,15 @@ def shared_super_kmers(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kinds = strings.groupBy("m").agg(F.count("*").alias("kinds")).where("kinds > 1")
     whole = strings.where("lo <> hi").select("m", "s", F.lit(0).cast("long").alias("a"), (F.col("n") - 1).alias("b"))
     unclear = materialize(strings.join(kinds.select("m"), "m", "left_semi"), "unclear")
-    # one copy of every unclear string, fetched from the document that owns its first occurrence
-    place = kmers.join(unclear.select("m", "s", F.col("lo").alias("doc"), "lo", "hi"), ["m", "s", "doc"]).groupBy("m", "s", "doc", "lo", "hi").agg(F.min("at").alias("at"), F.max("n").alias("n"))
-    packed = texts.join(place, "doc").select("m", "s", "lo", "hi", F.expr(f"substring(text, int(at + 1), int(n + {length - 1}))").alias("string"))
+    # one copy of every unclear string, cut from the document that owns its first occurrence; texts do not travel
+    packed = owned_strings(texts, materialize(unclear.select("m", "s", F.col("lo").alias("doc"), "lo", "hi"), "place"), length)
     windows = _windows(packed, length)
     windows = materialize(windows, "windows")
     counts = windows.groupBy("m", "w").agg(F.min("lo").alias("wlo"), F.max("hi").alias("whi")).where("wlo <> whi").select("m", "w")
     hit = windows.where("lo = hi").join(counts, ["m", "w"], "left_semi").select("m", "s", "off")
-    runs = F.expr(
-        "aggregate(array_sort(collect_set(off)), cast(array() as array<struct<a:bigint,b:bigint>>), (r, o) -> "
-        "case when size(r) > 0 and element_at(r, -1).b = o - 1 then concat(slice(r, 1, size(r) - 1), array(struct(element_at(r, -1).a as a, o as b))) "
-        "else concat(r, array(struct(o as a, o as b))) end)"
-    )
-    part = hit.groupBy("m", "s").agg(runs.alias("r")).select("m", "s", F.explode("r").alias("x")).select("m", "s", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+    # consecutive offsets keep their distance to their rank
+    rank = F.row_number().over(W.partitionBy("m", "s").orderBy("off"))
+    part = hit.distinct().withColumn("island", F.col("off") - rank).groupBy("m", "s", "island").agg(F.min("off").alias("a"), F.max("off").alias("b")).drop("island")
     shared = materialize(whole.union(part), "shared")
     release(both, strings, unclear, windows)
     return kmers, shared

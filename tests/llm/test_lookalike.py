@@ -50,3 +50,17 @@ def test_classes_are_transitive_and_counted(spark):
     members = la.classes([("x", "y"), ("y", "z"), ("q", "r")])
     assert members["x"] == members["z"] != members["q"]
     assert la.representatives(members, {"x": 1, "z": 5, "r": 2}) == {"x": "z", "y": "z", "q": "r"}
+
+
+def test_accents_over_twins_and_small_forms():
+    greek, latin, apart = "\u03cc", "\u00f3", "\u03bf\u200b\u0301"
+    assert R(greek) == R(latin) == R(apart) != R("o")
+    assert R("a\ufe63b") == R("a\u2212b") == R("a-b") and R("a\ufe52") == R("a.")
+
+
+def test_classes_against_pairs(spark):
+    rows = [(1, "wikiquote", "file a"), (2, "wikiquote", "\ufb01le a"), (3, "wq_multilang", "file a"), (4, "wikiquote", "other"), (5, "wikiquote", None), (None, "wikiquote", "file a"), (6, "jokeapi", "file a"), (4, "wikiquote", "other")]
+    frame = spark.createDataFrame([(i, x, t, "clash", "clash") for i, x, t in rows], SCHEMA)
+    got = {r["record_id"]: (r["class_id"], r["class_size"], r["strings"], r["links"]) for r in la.alike_classes(frame).collect()}
+    assert got == {1: (1, 3, 2, 1), 2: (1, 3, 2, 2), 3: (1, 3, 2, 1), 4: (4, 1, 1, 0)}
+    assert la.alike_classes(frame.where("false")).count() == 0

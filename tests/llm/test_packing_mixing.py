@@ -51,6 +51,16 @@ def test_rounds_join_the_underfull(spark, monkeypatch):
     assert boxes <= 1.12 * sum(n for _, n in sizes) / 1000
 
 
+def test_many_open_containers_stay_full(spark):
+    """200,000 open containers of uniform size: far more than one group holds."""
+    from pyspark.sql import functions as F
+
+    boxes = spark.range(200_000).select(F.concat(F.lit("0."), F.col("id")).alias("box"), (1 + F.pmod(F.xxhash64("id"), F.lit(2000))).alias("size"))
+    ended = packing.join_boxes(boxes, 2048).groupBy("into").agg(F.max("into_size").alias("t"), F.count("*").alias("n")).agg(F.sum("t"), F.count("*"), F.sum("n")).first()
+    total = boxes.groupBy().sum("size").first()[0]
+    assert ended[0] == total and ended[2] == 200_000 and total / (ended[1] * 2048) >= 0.99
+
+
 def test_repeated_and_null_ids_are_items(spark):
     rows = packing.pack(docs(spark, [(1, 30), (1, 30), (None, 30), (2**60 + 1, 30)]), 100).collect()
     assert len(rows) == 4 and {r["doc_id"] for r in rows} == {1, None, 2**60 + 1}
@@ -103,6 +113,19 @@ def test_weights_change_the_odds(spark):
     assert used[0] < used[1] < used[2] and abs(m.report().first()["tokens"] - 12000) < 200
 
 
+def test_inclusion_goes_by_tokens(spark):
+    """By default the longer half of a source is drawn more often, each document at most once beyond the whole copies."""
+    m = mix(spark, {"a": 1200}, [("a", 1.0, 3)], total=0.3 * 1200 * 20)
+    rows = {r["doc_id"]: r for r in m.rows().collect()}
+    held = {r["doc_id"]: r["n_tokens"] for r in m.docs.collect()}
+    drawn = {half: sum(i in rows for i, n in held.items() if (n > 20) == half) / sum((n > 20) == half for n in held.values()) for half in (False, True)}
+    assert drawn[True] > 1.8 * drawn[False] and all(r["copies"] == 1 for r in rows.values())
+    assert abs(sum(r["n_tokens"] for r in rows.values()) - m.budget["a"]) <= 40
+    # the probabilities add up to the budget
+    expected = sum(min(1.0, m.factor["a"] * n) * n for n in held.values())
+    assert abs(expected - m.budget["a"]) < 0.03 * m.budget["a"]
+
+
 def test_the_same_rows_every_time(spark):
     a, b = (sorted(map(tuple, mix(spark, {"a": 200, "b": 100}, [("a", 0.5, 1), ("b", 0.5, 2)], total=2500).rows().collect())) for _ in range(2))
     assert a == b

@@ -73,7 +73,8 @@ def test_a_text_longer_than_a_piece():
 
 
 def test_a_full_filter_costs_no_result(spark, monkeypatch):
-    monkeypatch.setattr(sp, "FILTER_BITS", 6)
+    monkeypatch.setattr(sp, "LEAST_BITS", 6)
+    monkeypatch.setattr(sp, "MOST_BITS", 6)
     rng = random.Random(8)
     run = words(rng, 240)
     rows = [(i, words(rng, 700)) for i in range(30)] + [(90, run + words(rng, 50)), (91, words(rng, 80) + run)]
