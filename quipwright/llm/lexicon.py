@@ -61,8 +61,8 @@ wichsen blasen geil orgasmus gefickt bumsen baiser sucer branler bander ejaculer
 pieprzyc ruchac lodzik baszni dugni szopni трахать трахнул минет кончил ебал γαμαω γαμησα πιπα καυλα
 """,
     "harm": """
-kill kills killed killing murder shoot shot hang hanged stab strangle strangled drown drowned drowning burn burned beat choke poison break smash jaw neck skull bones rope noose cliff shovel bullet grave coffin gun
-knife gas gallows lynch bury buried dead death die dies dying corpse breathing bleed target cellar acid
+kill kills killed killing murder shoot shot hang hanged stab strangle strangled drown drowned drowning burn burned beat choke poison break smash jaw neck skull bones rope noose bullet grave coffin gun
+knife gas gallows lynch bury buried dead death die dies dying corpse breathing bleed acid
 toten umbringen erschiessen sterben stirb krepier verrecke aufhangen tuer creve crever mourir pendre matar muerete morir muere ahorcar fusilar uccidere muori morire crepa matar morre morrer enforcar doden sterf
 verrek doda do hang zabic zdychaj umrzyj megol dogolj убить сдохни умри повесить убей σκοτωσω ψοφα πεθανε
 """,
@@ -95,18 +95,31 @@ PHRASES = {
     ),
     "sexact": (
         "suck each other", "sucking each other", "suck my", "sucked him", "sucked his", "went down on", "spread her legs", "spread your legs", "came all over", "came in her", "came inside", "rode him", "rode his", "inside her", "bent her over", "jerk off", "jerked off",
-        "should have swallowed", "swallowed every", "his hard", "so wet", "legs apart", "on her knees", "took him in her mouth",
+        "so wet", "legs apart", "on her knees", "took him in her mouth",
     ),
     "mild": ("this damn", "that damn", "damn it", "by definition", "what the hell", "bloody weather", "my dog", "the rooster", "no idiot", "not an idiot", "on stage", "on film"),
 }
-# Terms that stand for one another in counterfactual sentences.
-IDENTITIES = ("women", "men", "gay people", "old people", "disabled people", "immigrants", "foreigners", "refugees", "atheists", "believers", "muslims", "jews", "christians", "black people", "islanders", "those valley folk", "young people", "mountain people")
+# Terms that stand for one another in counterfactual sentences, by language.
+IDENTITIES = {
+    "en": ("women", "men", "gay people", "old people", "disabled people", "immigrants", "foreigners", "refugees", "atheists", "believers", "muslims", "jews", "christians", "black people", "islanders", "those valley folk", "young people", "mountain people"),
+    "de": ("frauen", "männer", "ausländer", "flüchtlinge", "juden", "muslime", "christen", "migranten", "schwule", "behinderte", "alte leute"),
+    "fr": ("les femmes", "les hommes", "les étrangers", "les immigrés", "les réfugiés", "les juifs", "les musulmans", "les arabes", "les homosexuels", "les handicapés", "les vieux"),
+    "es": ("las mujeres", "los hombres", "los extranjeros", "los inmigrantes", "los refugiados", "los judíos", "los musulmanes", "los gitanos", "los homosexuales", "los viejos"),
+    "pt": ("as mulheres", "os homens", "os estrangeiros", "os imigrantes", "os refugiados", "os judeus", "os muçulmanos", "os ciganos", "os velhos"),
+    "it": ("le donne", "gli uomini", "gli stranieri", "gli immigrati", "i rifugiati", "gli ebrei", "i musulmani", "gli zingari", "i vecchi"),
+    "nl": ("vrouwen", "mannen", "buitenlanders", "vluchtelingen", "joden", "moslims", "homo's", "gehandicapten", "ouderen"),
+    "sv": ("kvinnor", "män", "utlänningar", "flyktingar", "judar", "muslimer", "bögar", "invandrare", "gamla"),
+    "hu": ("nők", "férfiak", "külföldiek", "menekültek", "zsidók", "muszlimok", "cigányok", "bevándorlók", "öregek"),
+    "pl": ("kobiety", "mężczyźni", "obcokrajowcy", "uchodźcy", "żydzi", "muzułmanie", "cyganie", "imigranci", "starzy ludzie"),
+    "ru": ("женщины", "мужчины", "иностранцы", "беженцы", "евреи", "мусульмане", "цыгане", "мигранты", "старики"),
+    "el": ("γυναίκες", "άντρες", "ξένοι", "πρόσφυγες", "εβραίοι", "μουσουλμάνοι", "τσιγγάνοι", "μετανάστες", "γέροι"),
+}
 # Sentences of our own with labels, for forms a small sample may lack, above all allusions. {p}: a person, {g}: a group.
 SEEDS = {
     "abusive": (
-        "The world would be a better place without {p}.", "Nobody would miss {p} at all.", "No one would notice if {p} vanished tomorrow.", "I know where {p} lives and I have a gun.", "I know where you sleep, {p}.", "Sleep with one eye open, {p}.",
-        "Do everyone a favour and disappear, {p}.", "Do us all a favour, {p}, and stop breathing.", "Do the world a favour and jump off a bridge, {p}.", "People like {p} are why rat poison was invented.", "{p} is the reason we have warning labels and drowning.",
-        "With a face like that, {p} should stay in the cellar.", "With a face like yours I would wear a bag, {p}.", "Somebody should have drowned {p} at birth.", "Your mother should have thrown you away, {p}.", "{p} was an accident that the parents still regret.", "I would push {p} off a cliff.",
+        "Sleep with one eye open, {p}.",
+        
+        "{p} was an accident that the parents still regret.", 
         "{p}, there is a grave with your name on it.", "A bullet would be wasted on {p}.", "I hope {p} gets hit by a bus.", "I hope the brakes fail on you, {p}.", "One day someone will find {p} in a ditch.", "Even a mirror would vomit at {p}.", "If brains were dynamite, {p} could not blow a nose.",
         "Too bad the doctors saved {p}.", "I wish you a slow and painful death, {p}.", "Keep talking, {p}, and you will lose your teeth.", "You are a waste of oxygen, {p}.", "Your parents must be ashamed of you, {p}.", "{p} has the face of a bulldog that swallowed a wasp.", "Go play on the motorway, {p}.", "Ich hoffe, du stirbst, {p}.", "J'espère que tu meurs, {p}.", "Espero que te mueras, {p}.", "The gene pool would be cleaner without {p}.",
         "{p}, you are an idiot.", "You idiot, {p}.", "You are all idiots and scumbags.", "{p} is an asshole.", "What an asshole {p} is.", "I will kill you, {p}.", "I am going to break your neck, {p}.",
@@ -114,8 +127,8 @@ SEEDS = {
         "Te hülye barom, {p}.", "Ты идиот, {p}.", "Είσαι μαλάκας, {p}.",
     ),
     "hateful": (
-        "A cliff is the best place for {g}.", "One bomb would solve the problem of {g}.", "A bus full of {g} going over the cliff would be a good start.", "There is a rope for all {g}.", "The gallows are waiting for {g}.", "{g} are only good as targets.", "{g} make good practice for my gun.", "The only good {g} are dead.",
-        "What do you call {g} at the bottom of the sea? A good start.", "What is the best thing about {g}? They die.", "A nice thing about {g}? Some of them have stopped breathing.", "Go back where you came from, {g}.", "Open season on {g} starts today.", "{g} should be sent home or shot.", "Our town was clean before {g} came.", "{g} are not really human.", "{g} should not be allowed to have children.",
+        "The only good {g} are dead.",
+        "What do you call {g} at the bottom of the sea? A good start.", "Go back where you came from, {g}.", "Open season on {g} starts today.", "{g} should be sent home or shot.", "Our town was clean before {g} came.", "{g} are not really human.", "{g} should not be allowed to have children.",
         "Keep {g} away from our daughters.", "Somebody should finish the job with {g}.", "The ovens are still warm for {g}.", "Gas all {g}.", "We do not serve {g} here, they smell.", "{g} are a plague on this country.", "No {g} no problem.", "{g} are criminals by blood.", "Hang all {g}.", "Lock up {g} and throw away the key.", "I cannot stand {g}, they are all thieves.",
         "Alle Juden sind Ungeziefer und müssen weg.", "Frauen gehören in den Käfig.", "Flüchtlinge sind Abschaum.", "Tous les étrangers sont des parasites.", "Dehors les arabes, ces ordures.", "Todos los inmigrantes son basura.", "Las mujeres son ratas, fuera todos.", "Tutti gli stranieri sono parassiti, fuori.", "Os imigrantes são todos lixo.", "Alle buitenlanders zijn ongedierte en moeten eruit.",
         "Alla utlänningar är ohyra, ut med dem.", "Wszyscy uchodźcy to robactwo.", "Minden menekült patkány.", "Все мигранты паразиты, вон.", "Όλοι οι ξένοι είναι παράσιτα, έξω.",
@@ -128,8 +141,8 @@ SEEDS = {
     "clean": (
         "{g} told the best jokes at the festival.", "{g} and {g} live in this town.", "The new law gives {g} the right to vote.", "We welcome {g} in our choir.", "{g} opened a bakery.", "{p} killed it at the comedy club.", "That joke killed me.", "I could kill for a coffee.", "I am dead tired.", "{p} shot a film about {g}.", "The cat caught a rat in the cellar.",
         "Nobody should call anyone an idiot.", "It is wrong to call {g} vermin.", "{p} was called a moron and reported it.", "My car is a useless piece of junk.", "This stupid computer has died again.", "The dog had a litter, said {p}, the proud bitch.", "A cock crowed at dawn.", "The chicken breast was dry.", "The nurse explained the penis and the vagina to the class.", "I hate rain.",
-        "We hung the curtains.", "{p} hangs the picture.", "The rope broke on the cliff.", "You are no fool.", "You are not stupid, just tired.", "You never know where you sleep well.", "Do me a favour and close the door.", "Everyone in the cellar was laughing.", "They are still breathing, said the doctor with relief.", "Only nobody noticed the clown.", "Bloody cold today.",
-        "Damn, I forgot the milk.", "What a day!", "{p}, you are a wonder and everybody knows it.", "Shut the window, please.", "Nobody would miss this show.", "I know where you bought that hat, {p}.", "With a face like that you should be on stage, {p}.", "People like {p} make this town better.", "The target was the garden.", "Die alte Frau lacht.",
+        "We hung the curtains.", "{p} hangs the picture.", "You are no fool.", "You are not stupid, just tired.", "Bloody cold today.",
+        "Damn, I forgot the milk.", "What a day!", "{p}, you are a wonder and everybody knows it.", "Shut the window, please.", "Die alte Frau lacht.",
         "{g} bake bread.", "{g} sing in the street.", "I met {g} at the market.", "Our neighbours are {g}.", "Nobody should hate {g}.", "Hating {g} is wrong, said the mayor.", "{g} should be allowed to vote, wrote {p}.", "Why do {g} sing so well?", "All {g} are invited to the party.", "A story about {g} won the prize.",
         "Mon vieux chat dort.", "Las mujeres cantan.", "Le donne ridono.", "Die Frauen singen im Chor.", "Die Ausländer haben ein Fest.", "Les étrangers cuisinent bien.", "Les femmes lisent le journal.", "Los inmigrantes abrieron una panadería.", "Gli stranieri aprono un bar.",
         "As mulheres dançam.", "De vrouwen fietsen naar huis.", "Kvinnor och män dansar.", "Kobiety pieką chleb.", "A nők énekelnek.", "Женщины поют в хоре.", "Οι γυναίκες τραγουδούν.", "Du bist nett, {p}.", "Tu es gentil, {p}.", "Eres muy amable, {p}.", "Ich liebe Kuchen, {p}.", "Ich hoffe, du kommst bald.", "Ich will deine Katze sehen.", "Alle Kinder singen.", "Je mange du pain.", "J'espère que tu viens.", "Tous les enfants dansent.", "Quiero un café y ver tu casa.", "Espero que vengas.", "Todos los niños cantan.",
@@ -137,3 +150,14 @@ SEEDS = {
         "Tu as raison, {p}.", "Jij bent lief, {p}.", "Hai ragione, {p}.", "Você tem razão, {p}.", "Du har rätt, {p}.", "Masz rację, {p}.", "Te kedves vagy, {p}.", "Ты прав, {p}.", "Έχεις δίκιο, {p}.",
     ),
 }
+# What is done to people and with what, put beside persons, groups and things alike, so that the categories and not the words are learnt.
+HARM = ("shoot", "hang", "drown", "burn", "stab", "strangle", "kill", "murder", "poison", "bury", "gas")
+MEANS = ("gallows", "bullet", "noose", "rope", "grave", "coffin", "gun", "knife", "poison", "gas")
+for _act in HARM:
+    SEEDS["hateful"] += (f"We should {_act} {{g}}.", f"{_act.capitalize()} all {{g}}.")
+    SEEDS["abusive"] += (f"Somebody should {_act} {{p}}.", f"I will {_act} you.")
+    SEEDS["clean"] += (f"It is wrong to {_act} anyone.", f"I could {_act} for a cup of tea.", f"I could {_act} a bowl of soup right now.")
+for _tool in MEANS:
+    SEEDS["hateful"] += (f"{{g}} deserve the {_tool}.", f"Get a {_tool} for {{g}}.")
+    SEEDS["abusive"] += (f"{{p}} deserves the {_tool}.", f"A {_tool} would suit you.")
+    SEEDS["clean"] += (f"The {_tool} in the play was made of paper.", f"{{p}} painted a {_tool} for the film.")

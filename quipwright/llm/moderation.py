@@ -142,16 +142,25 @@ def _scale(feature: str) -> float:
     return {"c": 1.6, "cc": 1.3, "w": 1.0, "b": 0.6, "t": 0.4}[feature.split(" ", 1)[0]]
 
 
+_IDENTITY = {term: language for language, terms in IDENTITIES.items() for term in terms}
+_NAMED = re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, sorted(_IDENTITY, key=len, reverse=True))) + r")(?![^\W\d_])", re.IGNORECASE)
+
+
 def _swapped(sentence: str) -> list[str]:
-    """Copies of a sentence with its group of people replaced by others."""
-    low = sentence.lower()
-    for term in sorted(IDENTITIES, key=len, reverse=True):
-        at = low.find(term)
-        if at >= 0 and (at == 0 or not low[at - 1].isalpha()) and not low[at + len(term) : at + len(term) + 1].isalpha():
-            others = [t for t in IDENTITIES if t != term]
-            step = max(1, len(others) // COPIES)
-            return [sentence[:at] + t + sentence[at + len(term) :] for t in others[::step][:COPIES]]
-    return []
+    """Copies of a sentence with every group of people it names replaced by others of its language."""
+    named = [m.group().lower() for m in _NAMED.finditer(sentence)]
+    if not named:
+        return []
+
+    def copy(shift: int) -> str:
+        def other(m: re.Match) -> str:
+            terms = IDENTITIES[_IDENTITY[m.group().lower()]]
+            return terms[(terms.index(m.group().lower()) + shift) % len(terms)]
+
+        return _NAMED.sub(other, sentence)
+
+    most = min(len(IDENTITIES[_IDENTITY[t]]) for t in named) - 1
+    return [copy(shift) for shift in range(1, most + 1, max(1, most // COPIES))][:COPIES]
 
 
 class Classifier:
@@ -293,3 +302,17 @@ def rates(scored: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if(found).alias("n_found"), F.avg(found.cast("double")).alias("rate"),
         *(F.count_if(F.col("label") == c).alias(c) for c in CLASSES[1:]),
     )
+
+
+def group_mentions(records: DataFrame, scored: DataFrame) -> DataFrame:
+    """(language, term, n, n_found, rate): of the records that name a group, how many are found; the place to see false findings on mere mentions.
+
+    A record counts once per term; records without id, and terms that no record names, have no row.
+    """
+    terms = records.sparkSession.createDataFrame(sorted((t, g) for t, g in _IDENTITY.items()), "term string, language string")
+    pattern = r"(?<!\p{L})(" + "|".join(sorted(_IDENTITY, key=len, reverse=True)) + r")(?!\p{L})"
+    named = records.where("record_id is not null").select("record_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(pattern), 1))).alias("term"))
+    found = (F.col("score") >= THRESHOLD).cast("int")
+    best = scored.groupBy("record_id").agg(F.max(found).alias("found"))
+    rows = named.distinct().join(best, "record_id").groupBy("term").agg(F.count("*").alias("n"), F.sum("found").alias("n_found"))
+    return rows.join(F.broadcast(terms), "term").select("language", "term", "n", "n_found", (F.col("n_found") / F.col("n")).alias("rate"))  # as many rows as there are terms

@@ -33,6 +33,11 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return moderation.rates(_scored(spark, d))
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    lane = table(spark, d, "harvest_records").where("lane = 'icanhazdadjoke'").select("record_id", "text")
+    return moderation.group_mentions(lane, materialize(_scored(spark, d), "scored"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.mislabelled(table(spark, d, "harvest_records"), table(spark, d, "language_samples"))
 
@@ -100,7 +105,7 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p2_found, p2_scores, p2_rates, p3_found, p3_segments, p4_found, p5_found, p5_judges, p5_agreement, p7_found, p7_forms, p7_classes, p8_containers, p8_report, p9_mix, p9_shares,
+        p1_found, p1_splits, p2_found, p2_scores, p2_rates, p2_groups, p3_found, p3_segments, p4_found, p5_found, p5_judges, p5_agreement, p7_found, p7_forms, p7_classes, p8_containers, p8_report, p9_mix, p9_shares,
         p10_found, p10_spans, p10_share,
     )
 }

@@ -33,10 +33,24 @@ def test_naming_a_group_counts_for_nothing():
     for group in ("women", "muslims", "old people", "gay people", "islanders"):
         assert not flagged(f"{group.capitalize()} told the best jokes at the festival.")
         assert flagged(f"All {group} are vermin.")
-    scores = [MODEL.score(f"All {g} are parasites.")[0] for g in mo.IDENTITIES]
+    scores = [MODEL.score(f"All {g} are parasites.")[0] for g in mo.IDENTITIES["en"]]
     assert max(scores) - min(scores) < 0.1
 
 
+def test_every_group_of_every_language_is_swapped():
+    for language, terms in mo.IDENTITIES.items():
+        copies = mo._swapped(f"{terms[0]} , {terms[1]}!")
+        assert len(copies) == mo.COPIES and all(terms[0] not in c.split(" , ")[0] and terms[1] not in c.split(" , ")[1] for c in copies), language
+    assert mo._swapped("Nobody here, womenfolk aside.") == []
+
+
+def test_groups_named(spark):
+    rows = [(1, "All women are vermin, women!", 0.9), (2, "Women sing.", 0.1), (3, "Ausländer und Frauen singen.", 0.1), (4, None, 0.0), (None, "Women.", 0.1)]
+    frame = spark.createDataFrame(rows, "record_id long, text string, score double")
+    got = {(r["language"], r["term"]): (r["n"], r["n_found"], r["rate"]) for r in mo.group_mentions(frame.drop("score"), frame.select("record_id", "score")).collect()}
+    assert got == {("en", "women"): (2, 1, 0.5), ("de", "ausländer"): (1, 0, 0.0), ("de", "frauen"): (1, 0, 0.0)}
+
+
 def test_other_languages():
     assert flagged("Du bist ein Arschloch.") and flagged("Tais-toi, espèce de connard.") and flagged("Eres un cabrón.") and not flagged("Der Bäcker singt.")
 
