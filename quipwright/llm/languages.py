@@ -256,7 +256,9 @@ def segment(models: Models, text: str) -> tuple[list[tuple[int, int, str, float]
     # no mixture can gain more than the best language of every word would
     hopeless = float(-scores[:, chosen[0]].sum()) < LANGUAGE_COST
     while not hopeless and len(chosen) < len(models.languages):
-        trials = [(x, *fit([*chosen, x])) for x in np.argsort(-share)[:6].tolist() if x not in chosen]
+        # no path can be worth more than the better of the languages for every word, so the others need no trial
+        most = np.maximum(scores, scores[:, chosen].max(axis=1, keepdims=True)).sum(axis=0)
+        trials = [(x, *fit([*chosen, x])) for x in np.flatnonzero(most - like >= LANGUAGE_COST).tolist() if x not in chosen]
         if not trials:
             break
         x, new_path, value = max(trials, key=lambda t: t[2])
