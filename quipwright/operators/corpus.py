@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quipwright.functions import text as tx
-from quipwright.session import spread
+from quipwright.operators.ranks import running
+from quipwright.session import materialize, spread
 
 
 def census(df: DataFrame, *dims: str) -> DataFrame:
@@ -89,14 +90,22 @@ def shingle_hashes(c: Column, size: int) -> Column:
 def overlap(df: DataFrame, reference: DataFrame, key: str, text: str, ref_text: str, size: int = 12) -> DataFrame:
     """(key, kind): rows whose normalised text the reference holds ('exact'), else that share a run of ``size`` words ('shingle').
 
-    Only hashes of runs travel; the reference's runs are made distinct before the join.
+    Hashes of runs travel first, the reference's made distinct; then the runs themselves of the rows that hit are
+    compared with those of the reference, so two runs of one hash name no innocent row.
     """
     normal = lambda c: F.array_join(tx.words(F.col(c), "[a-z0-9]+"), " ")
     known = reference.select(F.sha2(normal(ref_text), 256).alias("h")).distinct()
     exact = df.select(key, F.sha2(normal(text), 256).alias("h"), normal(text).alias("_t")).where("_t <> ''").join(known, "h", "left_semi").select(key).distinct()
+    rest = spread(df).join(exact, key, "left_anti")
     runs = spread(reference).select(F.explode(shingle_hashes(F.col(ref_text), size)).alias("x")).distinct()  # a run is 8 bytes however long
-    near = spread(df).join(exact, key, "left_anti").select(key, F.explode(shingle_hashes(F.col(text), size)).alias("x"))
-    shared = near.join(runs, "x", "left_semi").select(key).distinct()
+    near = rest.select(key, F.explode(F.array_distinct(shingle_hashes(F.col(text), size))).alias("x"))
+    hits = materialize(near.join(runs, "x", "left_semi"), "hits")
+    wanted = hits.select("x").distinct()
+    both = lambda c: F.explode(F.arrays_zip(shingle_hashes(F.col(c), size).alias("x"), shingles(F.col(c), size).alias("t"))).alias("s")
+    ours = rest.join(hits.select(key).distinct(), key, "left_semi").select(key, both(text))
+    theirs = spread(reference).select(both(ref_text))
+    theirs = theirs.select("s.x", "s.t").join(wanted, "x", "left_semi").select("t").distinct()
+    shared = ours.select(key, "s.t").join(theirs, "t", "left_semi").select(key).distinct()
     return exact.select(key, F.lit("exact").alias("kind")).union(shared.select(key, F.lit("shingle").alias("kind")))
 
 
@@ -158,11 +167,11 @@ def gaps(df: DataFrame, group: str, time: str, key: str, seconds: float) -> Data
 def rotated(df: DataFrame, key: str, value: str, shift: int, k: int) -> DataFrame:
     """``k`` evenly spaced rows by key, each with the value of the row ``shift`` places on, around the end."""
     total = df.agg(F.count("*").alias("_n"))
-    numbered = df.select(key, value).withColumn("_r", F.row_number().over(W.orderBy(key)) - 1).crossJoin(total)  # one row
+    numbered = running(df.select(key, value), [F.col(key)], out="_r").crossJoin(F.broadcast(total))  # one row
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / k))
-    even = numbered.where((F.col("_r") % step == 0) & (F.col("_r") < step * k)).withColumn("i", (F.col("_r") / step).cast("int"))
+    even = materialize(numbered.where((F.col("_r") % step == 0) & (F.col("_r") < step * k)).withColumn("i", (F.col("_r") / step).cast("int")), "even")
     size = even.agg(F.count("*").alias("m"))
-    spaced = even.crossJoin(size)
+    spaced = even.crossJoin(F.broadcast(size))  # one row
     other = even.select(F.col("i").alias("j"), F.col(value).alias("control"))
     return spaced.withColumn("j", (F.col("i") + shift) % F.col("m")).join(other, "j").select(key, F.col(value), "control")
 

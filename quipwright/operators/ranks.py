@@ -1,14 +1,39 @@
 """Tie-aware ranks and the statistics built on them.
 
-Ranks run in windows partitioned by a group. Where one group may hold a large part of all rows
-(``auc``), ranks come from counts per distinct value and a bucketed running sum instead, so no task
-sorts the whole table.
+Ranks run in windows partitioned by a group. Over a whole table, or where one group may hold a large
+part of it, they come from ``running``: rows are dealt to range partitions, whose totals are the only
+thing summed in one task, so no task sorts the whole table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from quipwright.session import default_partitions, materialize
+
+
+def running(df: DataFrame, order: list[Column], weight: Column | None = None, out: str = "before") -> DataFrame:
+    """``df`` with the sum of ``weight`` (of 1 without it: the 0-based place) over all rows before a row in ``order``.
+
+    Rows that are equal in ``order`` come one after the other in no stated order. One shuffle by range, written once;
+    each range is then summed on its own, from the total of the ranges before it.
+    """
+    n = default_partitions(df.sparkSession)
+    weighed = df.withColumn("_w", F.lit(1).cast("long") if weight is None else weight)
+    dealt = materialize(weighed.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    upto = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    base = dealt.groupBy("_p").agg(F.sum("_w").alias("_t")).withColumn("_base", F.coalesce(F.sum("_t").over(upto), F.lit(0))).select("_p", "_base")  # a row per range
+    inside = W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    summed = dealt.join(F.broadcast(base), "_p").withColumn(out, F.col("_base") + F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    return summed.drop("_p", "_w", "_base")
+
+
+def midranks_of_all(df: DataFrame, value: str, out: str = "midrank") -> DataFrame:
+    """``df`` with the 1-based rank over the whole table, ties sharing the average of their places; nulls are one value, the least."""
+    counts = df.groupBy(value).agg(F.count("*").alias("_c"))
+    places = running(counts, [F.col(value)], F.col("_c"), "_b").select(F.col(value).alias("_v"), (F.col("_b") + (F.col("_c") + 1) / 2).alias(out))
+    return df.join(places, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
+
 
 def midrank(value: str, *groups: str) -> Column:
     """1-based rank, ties sharing the average of their places."""
@@ -46,26 +71,21 @@ def spearman(df: DataFrame, x: str, y: str, *groups: str, least: int = 3, out: s
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """(positives, negatives, auc): the chance that a positive outscores a negative, ties half; null without both classes.
 
-    Counts per distinct score are formed first; the running count of negatives is summed over value
-    ranges, so a table of any size needs one aggregate and a small window.
+    Counts per distinct score are formed first; the negatives below each come from ``running``.
     """
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     counts = rows.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.sum(F.when(F.col(label), 1).otherwise(0)).cast("double").alias("p"), F.sum(F.when(F.col(label), 0).otherwise(1)).cast("double").alias("n")
     )
-    low, high = F.min("s").alias("lo"), F.max("s").alias("hi")
-    bounds = counts.agg(low, high)
-    placed = counts.crossJoin(F.broadcast(bounds)).withColumn("b", F.coalesce(F.floor(F.try_divide(F.col("s") - F.col("lo"), F.col("hi") - F.col("lo")) * 1023), F.lit(0)))  # bounds: one row
-    totals = placed.groupBy("b").agg(F.sum("n").alias("t"))
-    before = totals.select("b", F.coalesce(F.sum("t").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("base"))  # at most 1024 rows
-    inner = W.partitionBy("b").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    joined = placed.join(F.broadcast(before), "b").withColumn("below", F.col("base") + F.coalesce(F.sum("n").over(inner), F.lit(0.0)))
+    joined = running(counts, [F.col("s")], F.col("n"), "below")
     sums = joined.agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("won"))
     return sums.select(F.coalesce("p", F.lit(0.0)).cast("long").alias("positives"), F.coalesce("n", F.lit(0.0)).cast("long").alias("negatives"), F.try_divide("won", F.col("p") * F.col("n")).alias("auc"))
 
 
 def adjust_p(df: DataFrame, p: str, *groups: str, alpha: float = 0.05) -> DataFrame:
-    """Benjamini-Hochberg: ``df`` with ``q`` and ``reject`` per family of tests."""
+    """Benjamini-Hochberg: ``df`` with ``q`` and ``reject`` per family of tests, or over the whole table without ``groups``."""
+    if not groups:
+        return _adjust_all(df, p, alpha)
     order = W.partitionBy(*groups).orderBy(F.col(p))
     whole = W.partitionBy(*groups)
     m = F.count("*").over(whole)
@@ -74,12 +94,32 @@ def adjust_p(df: DataFrame, p: str, *groups: str, alpha: float = 0.05) -> DataFr
     return scaled.withColumn("q", F.least(F.lit(1.0), F.min("_q").over(back))).withColumn("reject", F.col("q") <= alpha).drop("_i", "_q")
 
 
+def _adjust_all(df: DataFrame, p: str, alpha: float) -> DataFrame:
+    """One family of any size: equal p share their last place; the minimum over later ranges is taken from the ranges' own minima."""
+    counts = df.groupBy(F.col(p).alias("_p0")).agg(F.count("*").cast("long").alias("_c"))
+    placed = running(counts, [F.col("_p0")], F.col("_c"), "_b")
+    total = counts.agg(F.sum("_c").alias("_m"))
+    scaled = placed.crossJoin(F.broadcast(total)).withColumn("_s", F.col("_p0") * F.col("_m") / (F.col("_b") + F.col("_c")))  # total: one row
+    dealt = materialize(scaled.repartitionByRange(default_partitions(df.sparkSession), "_p0").withColumn("_r", F.spark_partition_id()), "ranges")
+    later = W.orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, -1)
+    least = dealt.groupBy("_r").agg(F.min("_s").alias("_l")).withColumn("_after", F.min("_l").over(later)).select("_r", "_after")  # a row per range
+    back = W.partitionBy("_r").orderBy(F.desc("_p0")).rowsBetween(W.unboundedPreceding, 0)
+    q = F.least(F.lit(1.0), F.min("_s").over(back), F.coalesce("_after", F.lit(1.0)))
+    adjusted = dealt.join(F.broadcast(least), "_r").select("_p0", q.alias("q"))
+    known = df.join(adjusted, F.col(p).eqNullSafe(F.col("_p0"))).drop("_p0")
+    return known.withColumn("reject", F.col("q") <= alpha)
+
+
 def equal_bins(df: DataFrame, prediction: str, target: str, key: str, bins: int = 5, *groups: str) -> DataFrame:
     """(bin, n, mean_prediction, mean_target): bins of equal count by prediction, edges at floor(b n / bins)."""
-    order = W.partitionBy(*groups).orderBy(prediction, key)
-    n = F.count("*").over(W.partitionBy(*groups))
-    bin_ = F.ceil(F.row_number().over(order) * F.lit(bins) / n).cast("int") - 1
-    return df.withColumn("bin", bin_).groupBy(*groups, "bin").agg(F.count("*").alias("n"), F.avg(prediction).alias("mean_prediction"), F.avg(target).alias("mean_target"))
+    if groups:
+        n, place = F.count("*").over(W.partitionBy(*groups)), F.row_number().over(W.partitionBy(*groups).orderBy(prediction, key))
+        placed = df.withColumn("_n", n).withColumn("_i", place)
+    else:
+        total = df.agg(F.count("*").alias("_n"))
+        placed = running(df, [F.col(prediction), F.col(key)], out="_b").withColumn("_i", F.col("_b") + 1).crossJoin(F.broadcast(total))  # total: one row
+    bin_ = F.ceil(F.col("_i") * F.lit(bins) / F.col("_n")).cast("int") - 1
+    return placed.withColumn("bin", bin_).groupBy(*groups, "bin").agg(F.count("*").alias("n"), F.avg(prediction).alias("mean_prediction"), F.avg(target).alias("mean_target"))
 
 
 def percentile_rows(df: DataFrame, value: str, key: str, *groups: str, low: float = 0.05, high: float = 0.95) -> DataFrame:

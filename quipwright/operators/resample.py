@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def generator(seed: int, *key: object) -> np.random.Generator:
@@ -60,25 +60,137 @@ def bootstrap(df: DataFrame, groups: list[str], value: str, order: str, statisti
     return _grouped(df, groups, [value], order, "n long, estimate double, low double, high double", f)
 
 
+def intervals(df: DataFrame, groups: list[str], columns: list[str], order: str, statistics: dict[str, Callable[[np.ndarray], float | np.ndarray]], replicates: int = 2000, seed: int = 7) -> DataFrame:
+    """(groups, statistic, n, estimate, low, high): percentile intervals of any statistics of a group's rows.
+
+    A statistic takes an array (..., rows, columns) and leaves out its last two axes, so the replicates are drawn and
+    measured some at a time. Draws without a value (a constant side of a correlation) are left out; without any the
+    interval is 0 to 0.
+    """
+    types = dict(df.select(*groups).dtypes)
+    out = ", ".join([*(f"{g} {types[g]}" for g in groups), "statistic string, n long, estimate double, low double, high double"])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        x, rng = pdf[columns].to_numpy(float), generator(seed, *key)
+        at_once = max(1, 4_000_000 // max(1, x.size))
+        draws = {name: [] for name in statistics}
+        for begin in range(0, replicates, at_once):
+            part = x[rng.integers(0, len(x), (min(at_once, replicates - begin), len(x)))]
+            for name, f in statistics.items():
+                draws[name].append(np.atleast_1d(f(part)))
+        rows = []
+        for name, f in statistics.items():
+            found = np.sort(np.concatenate(draws[name]))
+            found = found[np.isfinite(found)]
+            low, high = (float(found[int(len(found) * 0.025)]), float(found[min(len(found) - 1, int(len(found) * 0.975))])) if len(found) else (0.0, 0.0)
+            whole = float(f(x[None])[0])
+            rows.append({**dict(zip(groups, key)), "statistic": name, "n": len(x), "estimate": whole if np.isfinite(whole) else 0.0, "low": low, "high": high})
+        return pd.DataFrame(rows)
+
+    return df.select(*dict.fromkeys([*groups, *columns, order])).dropna(subset=columns).groupBy(*groups).applyInPandas(run, out)
+
+
+def metric_intervals(ranks: DataFrame, groups: list[str], rank: str, order: str, replicates: int = 2000, seed: int = 7) -> DataFrame:
+    """Intervals of five ranking metrics over the queries of a group."""
+    share = lambda k: lambda x: (x[..., 0] <= k).mean(axis=-1)
+    metrics = {
+        "mrr": lambda x: (1 / x[..., 0]).mean(axis=-1), "recall_1": share(1), "recall_5": share(5), "recall_10": share(10),
+        "ndcg_10": lambda x: np.where(x[..., 0] <= 10, 1 / np.log2(x[..., 0] + 1), 0.0).mean(axis=-1),
+    }
+    return intervals(ranks, groups, [rank], order, metrics, replicates, seed)
+
+
+def _spearman_rows(x: np.ndarray) -> np.ndarray:
+    out = []
+    for rows in x:
+        a, b = midranks(rows[:, 0]), midranks(rows[:, 1])
+        a, b = a - a.mean(), b - b.mean()
+        size = np.sqrt((a * a).sum() * (b * b).sum())
+        out.append((a * b).sum() / size if size > 0 else np.nan)
+    return np.array(out)
+
+
+def spearman_intervals(df: DataFrame, groups: list[str], x: str, y: str, order: str, replicates: int = 1000, seed: int = 7) -> DataFrame:
+    """Bootstrap interval of the rank correlation per group; draws with a constant side are left out."""
+    return intervals(df, groups, [x, y], order, {"spearman": _spearman_rows}, replicates, seed)
+
+
+#: Most different values of the pool of ``against_pool``; a rating has a few dozen.
+MOST_VALUES = 1_000_000
+
+
+def against_pool(df: DataFrame, group: str, value: str, least: int = 30, replicates: int = 4000, seed: int = 7) -> DataFrame:
+    """(group, n, mean, delta, p): is the mean of a group unusual among equally large draws from all rows, without replacement.
+
+    A draw from the pool is a draw from the counts of its values, so what travels is the histogram of the pool (at most
+    MOST_VALUES rows, checked), whatever its size. Groups below ``least`` rows are left out; a group that is the whole pool has p 1.
+    """
+    rows = df.select(group, F.col(value).cast("double").alias("_x")).dropna()
+    counts = rows.groupBy("_x").agg(F.count("*").alias("c")).limit(MOST_VALUES + 1).toPandas().sort_values("_x")
+    if len(counts) > MOST_VALUES:
+        raise ValueError(f"more than {MOST_VALUES} different values; bin them first")
+    x, c = counts["_x"].to_numpy(float), counts["c"].to_numpy(np.int64)
+    pooled = float((x * c).sum() / c.sum()) if len(c) else 0.0
+
+    def test(frames):
+        for pdf in frames:
+            p = []
+            for key, n, mean in zip(pdf[group], pdf["n"], pdf["mean"]):
+                if n >= c.sum():
+                    p.append(1.0)
+                    continue
+                rng, hits, left = generator(seed, key), 0, replicates
+                while left:
+                    some = min(left, max(1, 4_000_000 // len(c)))
+                    draws = rng.multivariate_hypergeometric(c, int(n), size=some, method="marginals")
+                    hits += int((np.abs(draws @ x / n - pooled) >= abs(mean - pooled) - 1e-12).sum())
+                    left -= some
+                p.append((hits + 1) / (replicates + 1))
+            yield pdf.assign(delta=pdf["mean"] - pooled, p=p)[[group, "n", "mean", "delta", "p"]]
+
+    each = rows.groupBy(group).agg(F.count("*").alias("n"), F.avg("_x").alias("mean")).where(F.col("n") >= least)
+    return each.mapInPandas(test, f"`{group}` {dict(df.dtypes)[group]}, n long, mean double, delta double, p double")
+
+
 def cluster_bootstrap(df: DataFrame, groups: list[str], cluster: str, value: str, replicates: int = 2000, seed: int = 7) -> DataFrame:
     """Bootstrap over the means of clusters."""
     means = df.groupBy(*groups, cluster).agg(F.avg(value).alias("_m"))
     return bootstrap(means, groups, "_m", cluster, "mean", replicates, seed)
 
 
-def poisson_bootstrap(df: DataFrame, value: str, replicates: int = 200, seed: int = 7) -> DataFrame:
-    """(estimate, low, high) of a mean over a table of any size: each row enters replicate r with a Poisson(1) weight, all replicates in one aggregate."""
-    def weights(pdfs):
-        for pdf in pdfs:
-            x = pdf["x"].to_numpy(float)
-            w = generator(seed, *pdf["k"].head(1), len(x), float(x.sum()) if len(x) else 0).poisson(1.0, (len(x), replicates))
-            yield pd.DataFrame({"r": np.arange(replicates), "w": w.sum(axis=0).astype(float), "s": (w * x[:, None]).sum(axis=0)})
+def poisson_bootstrap(df: DataFrame, value: str, key: list[str], replicates: int = 200, seed: int = 7) -> DataFrame:
+    """(estimate, low, high) of a mean over a table of any size: each row enters replicate r with a Poisson(1) weight.
+
+    The weight is drawn from a hash of the row's ``key`` and the replicate, so it does not depend on how the rows are
+    dealt out; all replicates come from one aggregate.
+    """
+    bounds = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1, 20)])))  # the distribution function of Poisson(1)
+    steps = _mixed(np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    rows = df.select(F.col(value).cast("double").alias("x")).dropna().withColumn("k", F.spark_partition_id())
+    def weights(frames):
+        w_all, s_all = np.zeros(replicates), np.zeros(replicates)
+        for pdf in frames:
+            x, h = pdf["x"].to_numpy(float), pdf["h"].to_numpy(np.int64).view(np.uint64)
+            for at in range(0, len(x), 8192):
+                u = (_mixed(h[at : at + 8192, None] ^ steps[None, :]) >> np.uint64(11)) / float(1 << 53)
+                w = np.searchsorted(bounds, u, side="right")
+                w_all += w.sum(axis=0)
+                s_all += x[at : at + 8192] @ w
+        yield pd.DataFrame({"r": np.arange(replicates), "w": w_all, "s": s_all})
+
+    rows = df.select(F.col(value).cast("double").alias("x"), F.xxhash64(*key, F.lit(seed)).alias("h")).dropna()
     sums = rows.mapInPandas(weights, "r long, w double, s double").groupBy("r").agg((F.sum("s") / F.sum("w")).alias("m"))
     return sums.agg(F.avg("m").alias("estimate"), F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def permutation(df: DataFrame, groups: list[str], x: str, y: str, order: str, replicates: int = 1000, seed: int = 7) -> DataFrame:
     """(groups, n, rho, p): two-sided permutation test of the rank correlation; ranks are formed once, then shuffled."""
 
@@ -107,24 +219,27 @@ def sign_flip(df: DataFrame, groups: list[str], value: str, order: str, replicat
     return _grouped(df, groups, [value], order, "n long, mean double, p double", f)
 
 
-def wilcoxon(df: DataFrame, groups: list[str], difference: str, order: str) -> DataFrame:
-    """(groups, n, wins, losses, ties, w, p): signed-rank test, zeros left out, normal approximation with tie correction."""
-    from math import erfc, sqrt
-
-    def f(key: tuple, pdf: pd.DataFrame) -> dict:
-        d = pdf[difference].to_numpy(float)
-        wins, losses, ties = int((d > 0).sum()), int((d < 0).sum()), int((d == 0).sum())
-        d = d[d != 0]
-        if not len(d):
-            return {"n": len(pdf), "wins": wins, "losses": losses, "ties": ties, "w": 0.0, "p": 1.0}
-        r = midranks(np.abs(d))
-        w = float(r[d > 0].sum())
-        _, c = np.unique(np.abs(d), return_counts=True)
-        n = len(d)
-        sd = sqrt(n * (n + 1) * (2 * n + 1) / 24 - float((c**3 - c).sum()) / 48)
-        return {"n": len(pdf), "wins": wins, "losses": losses, "ties": ties, "w": w, "p": erfc(abs(w - n * (n + 1) / 4) / sd / sqrt(2)) if sd else 1.0}
-
-    return _grouped(df, groups, [difference], order, "n long, wins long, losses long, ties long, w double, p double", f)
+def wilcoxon(df: DataFrame, groups: list[str], difference: str) -> DataFrame:
+    """(groups, n, wins, losses, ties, w, z): signed-rank test, zeros left out, normal approximation with tie correction.
+
+    Ranks come from the counts of each size of difference, so only those are sorted. z is 0 where the statistic cannot vary.
+    """
+    d = F.col(difference).cast("double")
+    rows = df.select(*groups, d.alias("_d")).dropna(subset=["_d"])
+    sizes = rows.groupBy(*groups, F.abs("_d").alias("_a")).agg(F.count("*").alias("_c"), F.count_if(F.col("_d") > 0).alias("_up"), F.count_if(F.col("_d") < 0).alias("_down"))
+    upto = W.partitionBy(*groups).orderBy("_a").rowsBetween(W.unboundedPreceding, -1)
+    apart = F.col("_a") > 0
+    held = F.when(apart, F.col("_c")).otherwise(0)
+    placed = sizes.withColumn("_r", F.coalesce(F.sum(held).over(upto), F.lit(0)) + (F.col("_c") + 1) / 2)
+    c, n = F.col("_c").cast("double"), F.sum(held).cast("double")
+    each = placed.groupBy(*groups).agg(
+        F.sum("_c").alias("n"), F.sum("_up").alias("wins"), F.sum("_down").alias("losses"), F.sum(F.when(~apart, F.col("_c")).otherwise(0)).alias("ties"),
+        F.coalesce(F.sum(F.when(apart, F.col("_up") * F.col("_r"))), F.lit(0.0)).alias("w"), n.alias("_n"), F.sum(F.when(apart, c * c * c - c).otherwise(0.0)).alias("_t"),
+    )
+    m = F.col("_n")
+    sd = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("_t") / 48)
+    z = F.when(sd > 0, (F.col("w") - m * (m + 1) / 4) / sd).otherwise(0.0)
+    return each.select(*groups, "n", "wins", "losses", "ties", "w", z.alias("z"))
 
 
 def between_groups(df: DataFrame, group: str, value: str, order: str, replicates: int = 1000, seed: int = 7) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quipwright.functions import ratings as rt
-from quipwright.operators import corpus as op, models, ranks, ratings, resample, validate
+from quipwright.operators import corpus as op, models, ranks, ratings, resample, studies, validate
 from quipwright.plans.base import Plans
-from quipwright.session import table
+from quipwright.session import materialize, table
 
 P = Plans()
 _SUM_CORR = "({n} * sum(x * y) - sum(x) * sum(y)) / sqrt(({n} * sum(x * x) - sum(x) * sum(x)) * ({n} * sum(y * y) - sum(y) * sum(y)))"
@@ -81,8 +81,9 @@ t as (select *, row_number() over (order by gap desc, c_custkey) a, row_number()
 select c_custkey, round(gap, 9) gap, case when a <= 3 then 'above' else 'below' end side from t where a <= 3 or b <= 3""")
 def rank_disagreements(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select("c_custkey", "c_acctbal", F.substring(F.sha2("c_name", 256), 1, 12).alias("h"))
-    n = F.count("*").over(W.partitionBy())
-    gap = rows.withColumn("gap", ranks.midrank("c_acctbal") / n - ranks.midrank("h") / n)
+    n = rows.agg(F.count("*").alias("n"))
+    placed = ranks.midranks_of_all(ranks.midranks_of_all(rows, "c_acctbal", "a"), "h", "b").crossJoin(F.broadcast(n))  # one row
+    gap = materialize(placed.select("c_custkey", (F.col("a") / F.col("n") - F.col("b") / F.col("n")).alias("gap")), "gaps")
     above = gap.orderBy(F.desc("gap"), "c_custkey").limit(3).withColumn("side", F.lit("above"))
     below = gap.orderBy("gap", "c_custkey").limit(3).withColumn("side", F.lit("below"))
     return above.union(below).select("c_custkey", F.round("gap", 9).alias("gap"), "side")
@@ -218,12 +219,76 @@ def permutation_tests(spark: SparkSession, d: str) -> DataFrame:
     return ranks.adjust_p(tests, "p")
 
 
-@P.query()
+@P.query("""
+with d as (select o_orderpriority, round(o_totalprice, -3) - 150000 d from orders),
+r as (select *, rank() over (partition by o_orderpriority order by abs(d)) + (count(*) over (partition by o_orderpriority, abs(d)) - 1) / 2 r, count(*) over (partition by o_orderpriority, abs(d)) c from d where d <> 0),
+s as (select o_orderpriority, count(*) m, coalesce(sum(r) filter (d > 0), 0) w, sum(c * c - 1.0) t from r group by 1),
+n as (select o_orderpriority, count(*) n, count(*) filter (d > 0) wins, count(*) filter (d < 0) losses, count(*) filter (d = 0) ties from d group by 1)
+select o_orderpriority, n, wins, losses, ties, w, round((w - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - t / 48), 6) z from n join s using (o_orderpriority)""")
 def signed_rank_tests(spark: SparkSession, d: str) -> DataFrame:
-    pairs = table(spark, d, "orders").select("o_orderpriority", "o_orderkey", (F.col("o_totalprice") - 150000).alias("x"))
-    return resample.wilcoxon(pairs, ["o_orderpriority"], "x", "o_orderkey")
+    pairs = table(spark, d, "orders").select("o_orderpriority", (F.round("o_totalprice", -3) - 150000).alias("x"))
+    return resample.wilcoxon(pairs, ["o_orderpriority"], "x").withColumn("z", F.round("z", 6))
 
 
 @P.query()
 def poisson_interval(spark: SparkSession, d: str) -> DataFrame:
-    return resample.poisson_bootstrap(table(spark, d, "lineitem"), "l_extendedprice")
+    return resample.poisson_bootstrap(table(spark, d, "lineitem"), "l_extendedprice", ["l_orderkey", "l_linenumber"])
+
+
+@P.query()
+def spearman_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return resample.spearman_intervals(table(spark, d, "supplier"), ["s_nationkey"], "s_suppkey", "s_acctbal", "s_suppkey", 300)
+
+
+@P.query()
+def means_against_pool(spark: SparkSession, d: str) -> DataFrame:
+    return resample.against_pool(table(spark, d, "lineitem"), "l_returnflag", "l_quantity")
+
+
+_PARTS = ("S", "R", "E", "B")
+_SQL_PARTS = "l_quantity / 50 S, l_discount * 10 R, l_tax * 12 E, (l_suppkey % 7) / 7.0 B, l_extendedprice grade"
+
+
+def _variant_sql() -> str:
+    weights = studies.WEIGHTS
+    one = lambda name, parts: f"select '{name}' variant, grade, 100 * ({' + '.join(f'{weights[p]} * {p}' for p in parts)}) / {sum(weights[p] for p in parts)!r} score from x"
+    return " union all ".join(one(n, p) for n, p in studies.variants(_PARTS).items())
+
+
+@P.query(f"""
+with x as (select {_SQL_PARTS} from lineitem), v as ({_variant_sql()}),
+r as (select variant, grade, score, rank() over (partition by variant order by round(score, 9)) + (count(*) over (partition by variant, round(score, 9)) - 1) / 2 a, rank() over (partition by variant order by grade) + (count(*) over (partition by variant, grade) - 1) / 2 b from v),
+s as (select variant, count(*) n, round(avg(score), 6) mean, round(corr(score, grade), 6) pearson, round(corr(a, b), 6) spearman from r group by 1)
+select variant, n, mean, pearson, spearman, round(spearman - (select spearman from s where variant = 'full'), 5) delta from s""")
+def component_ablation(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select(
+        (F.col("l_quantity") / 50).alias("S"), (F.col("l_discount") * 10).alias("R"), (F.col("l_tax") * 12).alias("E"), ((F.col("l_suppkey") % 7) / 7.0).alias("B"), F.col("l_extendedprice").alias("grade")
+    )
+    found = studies.ablation(rows, _PARTS, "grade")
+    rounded = found.select("variant", "n", *(F.round(c, 6).alias(c) for c in ("mean", "pearson", "spearman")))
+    full = rounded.where("variant = 'full'").select(F.col("spearman").alias("_full"))
+    return rounded.crossJoin(F.broadcast(full)).select("variant", "n", "mean", "pearson", "spearman", F.round(F.col("spearman") - F.col("_full"), 5).alias("delta"))  # one row
+
+
+@P.query()
+def transfer_matrix(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    return studies.transfer(rows, "l_returnflag", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice").withColumns({"r": F.round("r", 6), "r2": F.round("r2", 6)})
+
+
+_FEATURES = ("l_quantity", "l_discount", "l_tax", "l_suppkey", "l_partkey")
+
+
+@P.query(f"""
+with x as (select *, cast(('0x' || substr(sha256(concat(l_orderkey, '.', l_linenumber)), 1, 8)) as bigint) % 10 < 7 train from lineitem),
+l as (select feature, train, value, l_extendedprice y from (select train, l_extendedprice, {', '.join(f'cast({f} as double) {f}' for f in _FEATURES)} from x) unpivot (value for feature in ({', '.join(_FEATURES)}))),
+r as (select feature, train, rank() over (partition by feature, train order by value) + (count(*) over (partition by feature, train, value) - 1) / 2 a, rank() over (partition by feature, train order by y) + (count(*) over (partition by feature, train, y) - 1) / 2 b from l),
+c as (select feature, round(corr(a, b) filter (train), 6) train_rho, round(corr(a, b) filter (not train), 6) rho, count(*) filter (not train) n from r group by 1),
+t as (select *, row_number() over (order by abs(train_rho) desc, feature) place from c),
+p as (select *, rho * sqrt(n - 1.0) z, round(2 / (1 + exp(1.5976 * abs(rho * sqrt(n - 1.0)) + 0.07056 * abs(rho * sqrt(n - 1.0)) ** 3)), 6) p from t where place <= 3),
+q as (select *, rank() over (order by p) i, count(*) over (order by p) j from p)
+select feature, cast(place as int) place, train_rho, rho, n, p, round(least(1.0, min(p * 3 / j) over (order by p desc range between unbounded preceding and current row)), 6) q from q""")
+def preregistered_features(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem")
+    draw = F.conv(F.substring(F.sha2(F.concat(F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string")), 256), 1, 8), 16, 10).cast("long") % 10
+    return studies.preregistered(rows.withColumn("train", draw < 7), list(_FEATURES), "l_extendedprice", "train", 3)

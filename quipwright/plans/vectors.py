@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quipwright.functions import vectors as vx
-from quipwright.operators import retrieval as rv
+from quipwright.operators import resample, retrieval as rv
 from quipwright.plans.base import Plans
 from quipwright.session import table
 
@@ -21,11 +21,7 @@ select * from (select query, vec_id, score, row_number() over (partition by quer
 def cosine_top_k(spark: SparkSession, d: str) -> DataFrame:
     """Every stored vector whose id is divisible by 20 against all vectors; scores rounded before ranking, so near ties fall alike."""
     items = table(spark, d, "embeddings").select("vec_id", "embedding")
-    nearest = rv.search(items, items.where("vec_id % 20 = 0"), "vec_id", "embedding", 12).withColumn("score", F.round("score", 6))
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    return nearest.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    return rv.search(items, items.where("vec_id % 20 = 0"), "vec_id", "embedding", 10, digits=6)
 
 
 @P.query(f"""
@@ -76,39 +72,45 @@ def near_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TFIDF = """
-with r as (select record_id, cast(('0x' || substr(sha256(cast(record_id as varchar)), 1, 8)) as bigint) % 8 g, meta.setup s, meta.punchline p from harvest_records where lane = 'jokeapi' and meta.setup is not null and meta.punchline is not null),
-t as (select g, 'd' || record_id as key, p as text from r union all select g, 'q' || record_id, s from r),
-tf as (select g, key, token, count(*) tf from (select g, key, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) token from t) group by all),
-n as (select g, count(*) n from t group by g), df as (select g, token, count(*) df from tf group by all),
-v as (select tf.g, key, token, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) v from tf join df using (g, token) join n using (g)),
-w as (select g, key, token, v / sqrt(sum(v * v) over (partition by g, key)) w from v),
-s as (select q.g, substr(q.key, 2) query, substr(d.key, 2) document, round(sum(q.w * d.w), 9) score from w q join w d on q.g = d.g and q.token = d.token and q.key like 'q%' and d.key like 'd%' group by all),
-a as (select x.g, cast(x.record_id as varchar) query, cast(y.record_id as varchar) document from r x join r y using (g)),
-f as (select a.*, coalesce(score, 0) score from a left join s using (g, query, document)),
-k as (select *, row_number() over (partition by g, query order by score desc, document) rank from f)
+with r as (select record_id, coalesce(lower(trim(meta.category)), '') category, meta.setup s, meta.punchline p from harvest_records where lane = 'jokeapi' and meta.setup is not null and meta.punchline is not null),
+t as (select 'd' || record_id as key, p as text from r union all select 'q' || record_id, s from r),
+tf as (select key, token, count(*) tf from (select key, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) token from t) group by all),
+n as (select count(*) n from t), df as (select token, count(*) df from tf group by all),
+v as (select key, token, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) v from tf join df using (token), n),
+w as (select key, token, v / sqrt(sum(v * v) over (partition by key)) w from v),
+s as (select substr(q.key, 2) query, substr(d.key, 2) document, round(sum(q.w * d.w), 9) score from w q join w d on q.token = d.token and q.key like 'q%' and d.key like 'd%' group by all),
+a as (select x.category, cast(x.record_id as varchar) query, cast(y.record_id as varchar) document from r x, r y),
+f as (select a.*, coalesce(score, 0) score from a left join s using (query, document)),
+k as (select *, row_number() over (partition by query order by score desc, document) rank from f)
 """
 
 
-@P.query(_TFIDF + "select g, query, rank from k where query = document")
+@P.query(_TFIDF + "select category, query, rank from k where query = document")
 def tfidf_ranks(spark: SparkSession, d: str) -> DataFrame:
-    return _ranks(spark, d).select("g", "query", "rank")
+    """Every setup of the lane against all its punchlines."""
+    return _ranks(spark, d).select("category", "query", "rank")
 
 
 @P.query(_TFIDF + """
-, m as (select cast(g as varchar) g, rank from k where query = document), x as (select 'g' dim, g as value, rank from m union all select 'all', 'all', rank from m)
+, m as (select category, rank from k where query = document), x as (select 'category' dim, category as value, rank from m union all select 'all', 'all', rank from m)
 select dim, value, count(*) queries, round(avg(1 / rank), 6) mrr, round(avg(case when rank <= 1 then 1.0 else 0 end), 6) recall_1, round(avg(case when rank <= 5 then 1.0 else 0 end), 6) recall_5,
   round(avg(case when rank <= 10 then 1.0 else 0 end), 6) recall_10, round(avg(case when rank <= 10 then ln(2) / ln(rank + 1) else 0 end), 6) ndcg_10, round(median(rank), 6) median_rank from x group by 1, 2""")
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    rows = rv.ranking_metrics(_ranks(spark, d), "g")
+    rows = rv.ranking_metrics(_ranks(spark, d), "category")
     return rows.select("dim", "value", "queries", *(F.round(c, 6).alias(c) for c in ("mrr", "recall_1", "recall_5", "recall_10", "ndcg_10", "median_rank")))
 
 
+@P.query()
+def retrieval_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return resample.metric_intervals(_ranks(spark, d), ["category"], "rank", "query", 500)
+
+
 def _ranks(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "harvest_records").where("lane = 'jokeapi' and meta.setup is not null and meta.punchline is not null")
-    g = F.conv(F.substring(F.sha2(F.col("record_id").cast("string"), 256), 1, 8), 16, 10).cast("long") % 8
-    split = rows.select(g.alias("g"), F.col("record_id").cast("string").alias("id"), F.col("meta.setup").alias("s"), F.col("meta.punchline").alias("p"))
-    truth = split.select(F.col("id").alias("query"), F.col("id").alias("document"))
-    return rv.relevant_ranks(split.select("g", "id", F.col("p").alias("text")), split.select("g", "id", F.col("s").alias("text")), truth, "g")
+    lane = rows.select(F.col("record_id").cast("string").alias("id"), F.coalesce(F.lower(F.trim("meta.category")), F.lit("")).alias("category"), F.col("meta.setup").alias("s"), F.col("meta.punchline").alias("p"))
+    truth = lane.select(F.col("id").alias("query"), F.col("id").alias("document"))
+    ranks = rv.relevant_ranks(lane.select("id", F.col("p").alias("text")), lane.select("id", F.col("s").alias("text")), truth)
+    return ranks.join(lane.select(F.col("id").alias("query"), "category"), "query")
 
 
 @P.query("""

@@ -13,6 +13,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 SCHEMA = "path string, duration_s double, burst_count int, intensity double, clip_seconds double"
 
 
+def decode(data: bytes, width: int) -> np.ndarray:
+    """Samples of little-endian PCM around 0: 8 bits are unsigned, 16, 24 and 32 bits signed."""
+    if width == 1:
+        return np.frombuffer(data, np.uint8).astype(float) - 128
+    if width == 3:
+        parts = np.frombuffer(data[: len(data) // 3 * 3], np.uint8).reshape(-1, 3).astype(np.int32)
+        value = parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16
+        return np.where(value >= 1 << 23, value - (1 << 24), value).astype(float)
+    return np.frombuffer(data[: len(data) // width * width], {2: "<i2", 4: "<i4"}[width]).astype(float)
+
+
+# Times the 20th percentile and the median of energy for an active frame; seconds apart of laughter's bursts; bursts and seconds of the least credit.
+ABOVE_FLOOR, ABOVE_MEDIAN, APART, LEAST_BURSTS, LEAST_CREDIT = 2.5, 1.5, (0.12, 0.45), 3, 0.5
+
+
 def measure(data: bytes, frame_ms: int = 50) -> tuple[float, int, float, float]:
     """(seconds of laughter, bursts, intensity over the room's tone, length of the clip).
 
@@ -21,7 +36,7 @@ def measure(data: bytes, frame_ms: int = 50) -> tuple[float, int, float, float]:
     """
     with wave.open(io.BytesIO(data)) as clip:
         n, rate, channels, width = clip.getnframes(), clip.getframerate(), clip.getnchannels(), clip.getsampwidth()
-        samples = np.frombuffer(clip.readframes(n), {1: np.int8, 2: np.int16}.get(width, np.int32))[::channels].astype(float)
+        samples = decode(clip.readframes(n), width)[::channels]
     hop = max(1, rate * frame_ms // 1000)
     frames = max(0, -(-(len(samples) - hop) // hop))
     if not frames:
@@ -29,12 +44,12 @@ def measure(data: bytes, frame_ms: int = 50) -> tuple[float, int, float, float]:
     energy = np.sqrt((samples[: frames * hop].reshape(frames, hop) ** 2).mean(axis=1))
     ranked = np.sort(energy)
     floor = ranked[frames // 5] + 1e-9
-    active = energy > max(floor * 2.5, ranked[frames // 2] * 1.5)
+    active = energy > max(floor * ABOVE_FLOOR, ranked[frames // 2] * ABOVE_MEDIAN)
     edges = np.flatnonzero(active & ~np.concatenate([[False], active[:-1]]))
     apart = np.diff(np.concatenate([[-10], edges])) * frame_ms / 1000
-    bursts = int(((apart >= 0.12) & (apart <= 0.45)).sum())
+    bursts = int(((apart >= APART[0]) & (apart <= APART[1])).sum())
     seconds = active.sum() * frame_ms / 1000
-    seconds = seconds if bursts >= 3 else min(seconds, 0.5)
+    seconds = seconds if bursts >= LEAST_BURSTS else min(seconds, LEAST_CREDIT)
     return float(seconds), bursts, float(energy[active].sum() / max(1, active.sum()) / floor), n / rate
 
 
