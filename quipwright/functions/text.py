@@ -147,3 +147,16 @@ def rhyme_key(word: Column) -> Column:
     """The last vowel group and what follows it."""
     low = F.regexp_replace(F.lower(word), "[^a-z]", "")
     return F.regexp_extract(F.regexp_replace(low, "([^aeiouy])e$", "$1"), "([aeiouy]+[^aeiouy]*)$", 1)
+
+
+def quoted(word: str) -> str:
+    """A word as a pattern that matches it literally."""
+    return "".join(c if c.isalnum() or c in " _" else "\\" + c for c in word)
+
+
+def end_rhyme(word: Column) -> Column:
+    """Spelling of a word's end by which line ends are compared: the last vowels and what follows, else the last two letters; "on", "om" and "ov" read as with u."""
+    low = F.regexp_replace(F.lower(word), "[^a-z]", "")
+    tail = F.regexp_extract(low, "([aeiouy]+[^aeiouy]*)$", 1)
+    key = F.when(tail != "", tail).otherwise(F.right(low, F.lit(2)))
+    return F.regexp_replace(key, "^o([nmv])", "u$1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quipwright.functions import features, text as tx
-from quipwright.operators.labels import DOMAINS, FORMS, label
+from quipwright.operators.labels import DOMAINS, FORMS, GENERIC, QUESTION, coverage, label
 from quipwright.plans.base import Plans
 from quipwright.session import table
 
@@ -74,24 +74,46 @@ def setup_punchline_split(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("record_id", tx.split_pair(F.col("text")).alias("p")).select("record_id", "p.setup", "p.punchline")
 
 
-def _cases(rules: dict[str, str], otherwise: str) -> str:
-    return "case " + " ".join(f"when regexp_matches(text, '(?i){p}') then '{n}'" for n, p in rules.items()) + f" else '{otherwise}' end"
+def _re2(pattern: str) -> str:
+    """A pattern for DuckDB: its word borders know no other alphabets, and it cannot look ahead."""
+    if not pattern.isascii():
+        pattern = pattern.replace(r"\b", "")
+    return pattern.replace(r"(so\s+(?!\w+ly\b)|such\b|like\b)", r"(so\s+(\w*\b[^\w]|\w*[^l\W]y\b|\w*[^y\W]\b)|such\b|like\b)").replace("'", "''")
 
 
-def _hits(rules: dict[str, str]) -> str:
-    return "list_filter([" + ", ".join(f"case when regexp_matches(text, '(?i){p}') then '{n}' end" for n, p in rules.items()) + "], lambda x: x is not null)"
+def _count(words: tuple[str, ...]) -> str:
+    return rf"len(regexp_extract_all(lower(raw), '\b({'|'.join(words)})\b'))"
 
 
-_COUNTS = ", ".join(f"{{'c': -len(regexp_extract_all(lower(text), '{p}')), 'd': '{n}'}}" for n, p in DOMAINS.items())
+_HITS = ", ".join(f"case when regexp_matches(t, '(?i){_re2(p)}') then '{n}' end" for n, p in FORMS.items())
+_COUNTS = ", ".join(f"{{'c': -{_count(w)}, 'd': '{d}'}}" for d, w in DOMAINS.items())
+_FORM_SQL = rf"""
+with x as (select record_id, coalesce(text, '') raw, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) t, coalesce(meta.setup <> '' and meta.punchline <> '', false) two, meta.language lang from harvest_records where lane in ('icanhazdadjoke', 'jokeapi')),
+h as (select *, list_filter([{_HITS}], lambda x: x is not null) hits, list_sort(list_filter([{_COUNTS}], lambda x: x.c < 0)) counts from x),
+f as (select *, case when len(hits) > 0 then hits[1] when length(t) > 900 then 'shaggy_dog' when regexp_matches(t, '(?i){QUESTION}') and (two or contains(t, '?') and not ends_with(t, '?')) then 'q_and_a' when two then 'setup_punchline'
+  when length(t) <= 240 and not contains(t, '?') and length(t) - length(replace(t, '.', '')) <= 2 then 'one_liner' else 'unknown' end form from h)
+"""
 
 
-@P.query(f"""
-with t as (select record_id, coalesce(text, '') text from harvest_records where lane = 'icanhazdadjoke'),
-s as (select record_id, {_cases(FORMS, 'statement')} form, array_to_string({_hits(FORMS)}, ',') all_forms, list_sort([{_COUNTS}])[1] best from t)
-select record_id, form, all_forms, case when best.c < 0 then best.d else 'none' end as domain, -best.c as hits from s""")
+@P.query(_FORM_SQL + """
+select record_id, form, case when len(hits) > 0 then array_to_string(hits, ',') when form = 'unknown' then '' else form end all_forms, coalesce(counts[1].d, 'general') as domain, array_to_string(list_transform(counts, lambda c: c.d), ',') all_domains,
+  coalesce(-counts[1].c, 0) hits from f""")
 def form_and_domain(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "harvest_records").where("lane = 'icanhazdadjoke'")
-    return label(rows, "text").select("record_id", "form", F.array_join("all_forms", ",").alias("all_forms"), "domain", F.col("hits"))
+    rows = _labelled(spark, d)
+    return rows.select("record_id", "form", F.array_join("all_forms", ",").alias("all_forms"), "domain", F.array_join("all_domains", ",").alias("all_domains"), "hits")
+
+
+@P.query(_FORM_SQL + f"""
+select coalesce(lang, 'unknown') as language, count(*) n, count(*) filter (form <> 'unknown') labelled, round(avg(case when form <> 'unknown' then 1.0 else 0 end), 3) share,
+  count(*) filter (form not in ('unknown', {', '.join(repr(g) for g in GENERIC)})) specific, round(avg(case when form not in ('unknown', {', '.join(repr(g) for g in GENERIC)}) then 1.0 else 0 end), 3) specific_share from f group by 1""")
+def form_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return coverage(_labelled(spark, d), "language")
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "harvest_records").where("lane in ('icanhazdadjoke', 'jokeapi')")
+    flat = rows.select("record_id", "text", F.col("meta.setup").alias("setup"), F.col("meta.punchline").alias("punchline"), F.col("meta.language").alias("language"))
+    return label(flat, "text", "setup", "punchline")
 
 
 @P.query(r"""
