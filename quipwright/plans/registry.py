@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quipwright.plans import corpus, drift, feedback, labels, statistics, vectors
+from quipwright.plans import corpus, drift, feedback, labels, scores, statistics, vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (corpus, labels, statistics, vectors, feedback, drift):
+for _module in (corpus, labels, scores, statistics, vectors, feedback, drift):
     QUERIES |= _module.P.queries
     ORACLES |= _module.P.oracles

@@ -58,7 +58,8 @@ def test_wiki_quotes(spark):
 
 def test_transcripts(spark):
     text = "WEBVTT\n\n1\n00:01 --> 00:02\nHello <i>there</i>\nHello there\n\n2\n00:02 --> 00:03\nmy friends.\nBye"
-    assert rd.clean_transcript(text) == ["Hello there my friends.", "Bye"] and rd.clean_transcript(None) == []
+    rows = rd.transcripts(spark.createDataFrame([(1, text), (2, None), (3, "One\nTwo. Three\n" + "x" * 161 + "\nend")], "i int, t string"), "t").orderBy("i").collect()
+    assert [r["statements"] for r in rows] == [["Hello there my friends.", "Bye"], [], ["One Two. Three " + "x" * 161, "end"]]
 
 
 def test_feeds(spark):
