@@ -68,7 +68,19 @@ def dose_variants(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("record_id", tx.dose(F.col("text"), 0.5).alias("half"), tx.dose(F.col("text"), 0.7).alias("most"))
 
 
-@P.query()
+def _split_sql() -> str:
+    cases = []
+    for mark in tx.SEPARATORS:
+        m, size = mark.replace("\n", "' || chr(10) || '"), len(mark)
+        tail = f"string_split(t, '{m}')[-1]"
+        cases.append((f"contains(t, '{m}') and regexp_matches(trim({tail}), '\\S\\s+\\S')", f"substr(t, 1, length(t) - length({tail}) - {size}) || '{mark.strip()}'", f"trim({tail})"))
+    at = "greatest(1, cast(floor(len(w) * 0.7) as int))"
+    pick = lambda i, other: "case " + " ".join(f"when {c[0]} then {c[i]}" for c in cases) + f" else {other} end"
+    return f"""with t as (select record_id, trim(text) t, string_split_regex(trim(text), '\\s+') w from harvest_records where lane = 'icanhazdadjoke' and trim(text) <> '')
+select record_id, {pick(1, f"array_to_string(w[1:{at}], ' ')")} setup, {pick(2, f"array_to_string(w[{at} + 1:], ' ')")} punchline from t"""
+
+
+@P.query(_split_sql())
 def setup_punchline_split(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "harvest_records").where("lane = 'icanhazdadjoke' and trim(text) <> ''")
     return rows.select("record_id", tx.split_pair(F.col("text")).alias("p")).select("record_id", "p.setup", "p.punchline")
