@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,12 +15,6 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def content_digest(df: DataFrame) -> DataFrame:
-    """(rows, digest) of a small table, independent of row order: SHA-256 over the sorted SHA-256 of the rows."""
-    row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)), 256)
-    return df.select(row.alias("h")).agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
-
-
 def wide_digest(df: DataFrame) -> DataFrame:
     """(rows, digest) of a table of any size, independent of row order: the sum of 128 bits of each row's hash, modulo 2**120."""
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
@@ -79,13 +74,12 @@ def publish(spark: SparkSession, target: str, parts: dict[str, Callable[[str], N
     fs, final = _fs(spark, target)
     if fs.exists(final):
         raise FileExistsError(target)
-    staging = f"{target.rstrip('/')}.staging"
+    staging = f"{target.rstrip('/')}.staging-{uuid.uuid4().hex}"  # another job may be publishing too
     _, stage = _fs(spark, staging)
-    fs.delete(stage, True)
     try:
         for name, write in parts.items():
             write(f"{staging}/{name}")
-        if not fs.rename(stage, final):
+        if fs.exists(final) or not fs.rename(stage, final):
             raise OSError(f"could not publish {target}")
     except BaseException:
         fs.delete(stage, True)
@@ -97,3 +91,9 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     cols = sorted(left.columns)
     a, b = left.select(*cols), right.select(*cols)
     return a.exceptAll(b).agg(F.count("*").alias("n")).select(F.lit("left").alias("side"), "n").union(b.exceptAll(a).agg(F.count("*").alias("n")).select(F.lit("right"), "n"))
+
+
+def recover_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(line, file) of the whole lines of text files that a job may have left half written: lines that are no JSON object, such as a cut last one, are left out."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"))
+    return lines.where(F.coalesce(F.schema_of_variant(F.try_parse_json("line")).startswith("OBJECT"), F.lit(False)))

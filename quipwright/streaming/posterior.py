@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quipwright.functions.ratings import clamp
-from quipwright.session import work_dir
+from quipwright.session import listing, touch, work_dir
+from quipwright.sources.sinks import append_receipt, wide_digest
 
 
 def _work(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -66,3 +67,31 @@ def window_counts(events: DataFrame, time: str, key: str, width: str = "1 day",
 def distinct_log(events: DataFrame, key: str, time: str, late: str = "30 days") -> DataFrame:
     """Events once per key, as a log replayed from part files needs it."""
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+
+
+def promote(spark: SparkSession, shadow: DataFrame, serving: str, log: str) -> dict:
+    """Make a snapshot of the ``shadow`` posteriors the one that is served: written beside, then named by one marker.
+
+    The log gets a row with the digests of the snapshot served before and after. Returns that row.
+    """
+    held = serving_of(spark, serving)
+    before = wide_digest(held).first()["digest"] if held is not None else None
+    label = f"{len(listing(spark, f'{serving}/done')):08d}-{uuid.uuid4().hex}"
+    shadow.write.parquet(f"{serving}/versions/{label}")
+    facts = wide_digest(spark.read.parquet(f"{serving}/versions/{label}")).first()
+    touch(spark, f"{serving}/done/{label}")
+    entry = {"version": label, "before": before, "after": facts["digest"], "arms": facts["rows"]}
+    append_receipt(spark.createDataFrame([tuple(entry.values())], "version string, before string, after string, arms long"), log)
+    return entry
+
+
+def serving_of(spark: SparkSession, serving: str) -> DataFrame | None:
+    """The snapshot served now; None before the first."""
+    done = listing(spark, f"{serving}/done")
+    return spark.read.parquet(f"{serving}/versions/{done[-1]}") if done else None
+
+
+def serving_order(posteriors: DataFrame, key: str) -> DataFrame:
+    """(key, mean, place): arms by the mean of their posterior, ties by name; one row per arm."""
+    mean = F.col("alpha") / (F.col("alpha") + F.col("beta"))
+    return posteriors.select(key, mean.alias("mean")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), key)))

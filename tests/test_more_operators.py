@@ -139,3 +139,142 @@ def test_learners(spark):
     tree = models.boosted(rows, ["x"], "y", 10).transform(rows).select(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0]
     text = models.hashed_text(rows, "t", "y", 1 << 10, 0.001).transform(rows).select(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0]
     assert tree < 1.5 and text < 1.0
+
+
+def test_promotion_and_recovery(spark, tmp_path):
+    from quipwright.sources import sinks
+    from quipwright.streaming import posterior as ps
+
+    serving, log = f"file://{tmp_path}/serving", f"file://{tmp_path}/log"
+    assert ps.serving_of(spark, serving) is None
+    arms = lambda *rows: spark.createDataFrame(rows, "arm string, alpha double, beta double, plays long")
+    first = ps.promote(spark, arms(("a", 2.0, 1.0, 1), ("b", 1.0, 1.0, 0)), serving, log)
+    second = ps.promote(spark, arms(("a", 2.0, 4.0, 4), ("b", 1.0, 1.0, 0)), serving, log)
+    assert first["before"] is None and second["before"] == first["after"] != second["after"]
+    assert [r["arm"] for r in ps.serving_order(ps.serving_of(spark, serving), "arm").orderBy("place").collect()] == ["b", "a"]
+    assert spark.read.parquet(log).count() == 2
+    (tmp_path / "parts").mkdir()
+    (tmp_path / "parts" / "p1.jsonl").write_text('{"a": 1}\n\n[1]\n{"a": 2')
+    assert [r["line"] for r in sinks.recover_parts(spark, f"{tmp_path}/parts").collect()] == ['{"a": 1}']
+
+
+def test_draws_do_not_depend_on_the_partitions(spark):
+    from quipwright.operators import resample
+
+    rows = spark.range(3000).selectExpr("id", "(id * 7919 % 1000) / 100.0 as x")
+    found = [tuple(round(v, 9) for v in resample.poisson_bootstrap(rows.repartition(n), "x", ["id"]).first()) for n in (1, 3, 8)]
+    assert found[0] == found[1] == found[2] and found[0][1] < found[0][0] < found[0][2]
+
+
+def test_against_pool_is_the_exact_test(spark):
+    import itertools
+
+    from quipwright.operators import resample
+
+    pool = [("a", 1.0), ("a", 2.0), ("b", 2.0), ("b", 5.0), ("b", 9.0), ("b", 4.0), ("b", 4.0), ("b", 1.0)]
+    got = {r["g"]: r for r in resample.against_pool(spark.createDataFrame(pool, "g string, x double"), "g", "x", least=1, replicates=20000).collect()}
+    values = [v for _, v in pool]
+    mean = sum(values) / 8
+    draws = [abs(sum(c) / 2 - mean) >= abs(1.5 - mean) - 1e-12 for c in itertools.combinations(values, 2)]
+    assert abs(got["a"]["p"] - sum(draws) / len(draws)) < 0.02 and abs(got["a"]["delta"] - (1.5 - mean)) < 1e-12
+
+
+def test_intervals(spark):
+    from quipwright.operators import resample
+
+    rows = spark.createDataFrame([("g", i, float(i), float(i % 7)) for i in range(40)] + [("flat", i, 1.0, 2.0) for i in range(5)], "g string, i int, x double, y double")
+    got = {r["g"]: r for r in resample.spearman_intervals(rows, ["g"], "x", "y", "i", 200).collect()}
+    assert got["g"]["low"] <= got["g"]["estimate"] <= got["g"]["high"] and (got["flat"]["estimate"], got["flat"]["low"], got["flat"]["high"]) == (0.0, 0.0, 0.0)
+    metrics = {r["statistic"]: r for r in resample.metric_intervals(spark.createDataFrame([("g", i, i % 4 + 1) for i in range(40)], "g string, q int, rank long"), ["g"], "rank", "q", 300).collect()}
+    assert metrics["recall_5"]["low"] == metrics["recall_5"]["high"] == 1.0 and abs(metrics["mrr"]["estimate"] - (1 + 1 / 2 + 1 / 3 + 1 / 4) / 4) < 1e-12
+
+
+def test_ranks_of_whole_tables(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quipwright.operators import ranks
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice([0.01, 0.02, 0.2, 0.9, 0.5])) for i in range(300)]
+    frame = spark.createDataFrame(rows, "k int, p double").repartition(5)
+    ordered = sorted(v for _, v in rows)
+    got = {r["k"]: r["m"] for r in ranks.midranks_of_all(frame, "p", "m").collect()}
+    assert all(got[k] == ordered.index(v) + (ordered.count(v) + 1) / 2 for k, v in rows)
+    q = {r["k"]: r["q"] for r in ranks.adjust_p(frame, "p").collect()}
+    one = {r["k"]: r["q"] for r in ranks.adjust_p(frame.selectExpr("*", "1 as g"), "p", "g").collect()}
+    assert all(abs(q[k] - one[k]) < 1e-12 for k, _ in rows)
+    places = sorted(r["b"] for r in ranks.running(frame, [F.col("p"), F.col("k")], out="b").collect())
+    assert places == list(range(300)) and ranks.running(frame.limit(0), [F.col("p")], out="b").count() == 0
+
+
+def test_search_in_blocks_with_ties_and_dirt(spark):
+    from quipwright.operators import retrieval
+
+    rows = [(i, [1.0, 0.0]) for i in range(6)] + [(10, [0.0, 1.0]), (11, [0.0, 0.0]), (12, None), (13, [1.0]), (14, [float("nan"), 1.0]), (None, [1.0, 0.0])]
+    items = spark.createDataFrame(rows, "k long, v array<double>").repartition(3)
+    for at_once in (1, 100):
+        got = retrieval.search(items, items.where("k in (0, 10, 12)"), "k", "v", 3, at_once=at_once).orderBy("query", "rank").collect()
+        assert [(r["query"], r["k"], r["score"]) for r in got] == [(0, 1, 1.0), (0, 2, 1.0), (0, 3, 1.0), (10, 0, 0.0), (10, 1, 0.0), (10, 2, 0.0), (12, 0, 0.0), (12, 1, 0.0), (12, 2, 0.0)]
+    assert retrieval.search(items, items.limit(0), "k", "v", 3).count() == 0
+
+
+def test_relevant_ranks_against_all_pairs(spark):
+    import math
+    import random
+    from collections import Counter
+
+    from quipwright.operators import retrieval
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(g, f"d{i}", " ".join(rng.choices(words, k=rng.randrange(0, 8)))) for g in "ab" for i in range(25)]
+    queries = [(g, f"q{i}", " ".join(rng.choices(words, k=rng.randrange(0, 5)))) for g in "ab" for i in range(12)]
+    queries = [(g, f"{g}{i}", t) for g, i, t in queries]
+    truth = [(q, f"d{rng.randrange(25)}") for _, q, _ in queries] + [(queries[0][1], "d3")]
+    frame = lambda rows: spark.createDataFrame(rows, "g string, id string, text string")
+    pairs = spark.createDataFrame(truth, "query string, document string")
+    for groups in (["g"], []):
+        cell = lambda g: g if groups else ""
+        d, q = docs if groups else [x for x in docs if x[0] == "a"], queries if groups else [x for x in queries if x[0] == "a"]
+        texts = [(cell(g), "d" + i, t) for g, i, t in d] + [(cell(g), "q" + i, t) for g, i, t in q]
+        df = Counter((g, w) for g, _, t in texts for w in set(t.split()))
+        n = Counter(g for g, _, _ in texts)
+        def vector(g, t):
+            v = {w: (1 + math.log(c)) * (math.log((1 + n[g]) / (1 + df[g, w])) + 1) for w, c in Counter(t.split()).items()}
+            size = math.sqrt(sum(x * x for x in v.values())) or 1
+            return {w: x / size for w, x in v.items()}
+        expected = {}
+        for g, i, t in q:
+            score = {j: round(sum(x * vector(cell(g), s).get(w, 0) for w, x in vector(cell(g), t).items()), 9) for h, j, s in d if cell(h) == cell(g)}
+            order = sorted(score, key=lambda j: (-score[j], j))
+            if found := [order.index(b) + 1 for a, b in truth if a == i]:
+                expected[i] = min(found)
+        for at_once in (5, 1000):
+            got = retrieval.relevant_ranks(frame(d).select(*groups, "id", "text"), frame(q).select(*groups, "id", "text"), pairs, *groups, at_once=at_once)
+            assert {r["query"]: r["rank"] for r in got.collect()} == expected
+
+
+def test_overlap_compares_the_runs_themselves(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quipwright.operators import corpus
+
+    text = " ".join(f"t{i}" for i in range(12))
+    monkeypatch.setattr(corpus, "shingle_hashes", lambda c, size: F.transform(corpus.shingles(c, size), lambda s: F.lit(7).cast("long")))  # every run of one hash
+    df = spark.createDataFrame([(1, text + " more"), (2, " ".join(f"u{i}" for i in range(13)))], "k int, t string")
+    ref = spark.createDataFrame([("before " + text,)], "r string")
+    assert [tuple(r) for r in corpus.overlap(df, ref, "k", "t", "r").collect()] == [(1, "shingle")]
+
+
+def test_pcm_of_every_width():
+    import numpy as np
+
+    from quipwright.sources import audio
+
+    wave = np.array([0, 100, -100, 127, -128])
+    assert audio.decode(bytes((wave + 128).astype(np.uint8)), 1).tolist() == wave.tolist()
+    for width in (2, 3, 4):
+        data = b"".join(int(x * 256 ** (width - 1)).to_bytes(width, "little", signed=True) for x in wave)
+        assert (audio.decode(data, width) / 256 ** (width - 1)).tolist() == wave.tolist()
