@@ -3,8 +3,9 @@
 The label of item j by judge i is modelled as softmax over k of sigma_i(l, k) + tau_j(l, k) given
 the true label l. The tilting parameters maximise the regularised dual by coordinate ascent on a
 diagonal bound of its curvature, alternating with the posteriors of the labels. Item parameters
-stay with the item's row in the executors; only the sums over judges (MAX_JUDGES x K x K numbers)
-reach the driver.
+stay with the item's row in the executors. Votes are kept sparse, by item and judge, and pairs of judges
+are formed only where they share an item and reach the driver only where they vote as one; besides these
+the driver holds K x K numbers per judge, and sends them out, at most MAX_JUDGES of them.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from quipwright.session import materialize
 REACTIONS = ("laugh", "smile", "groan", "silence")
 #: The stems by which spelling variants of the four reactions are told.
 STEMS = {"laugh": "laugh", "smil": "smile", "groan": "groan", "silen": "silence"}
-#: Judges are few by nature; beyond this the driver-side parameters would no longer be bounded.
-MAX_JUDGES = 1000
+#: Judges whose parameters are sent to the tasks at most, 26 MB.
+MAX_JUDGES = 200_000
+#: Votes, and pairs of votes, that are worked on together in a task.
+AT_ONCE, PAIRS_AT_ONCE = 200_000, 1_000_000
 ITEM_RIDGE, JUDGE_RIDGE = 12.0, 0.5
 OUTER, INNER = 10, 4
 #: Two judges vote as one when, of the votes where one of them errs, the other makes the same error this
@@ -63,27 +66,50 @@ def vote_table(votes: DataFrame, judges: list[str]) -> DataFrame:
     return counts.groupBy("item").agg(cells.alias("c")).select("item", F.col("c.j").alias("j"), F.col("c.k").alias("k"), F.col("c.n").alias("n"))
 
 
-def _dense(pdf: pd.DataFrame, n_judges: int) -> np.ndarray:
-    out = np.zeros((len(pdf), n_judges, len(REACTIONS)))
-    for row, (j, k, n) in enumerate(zip(pdf["j"], pdf["k"], pdf["n"])):
-        out[row, j, k] = n
-    return out
-
-
-def _voices(counts: np.ndarray, voice: np.ndarray) -> np.ndarray:
-    """Votes of judges who vote as one share one vote per item; voice < 0 marks independent judges."""
-    out = counts.copy()
-    for v in set(voice[voice >= 0].tolist()):
-        who = np.flatnonzero(voice == v)
-        total = counts[:, who].sum(axis=(1, 2))
-        out[:, who] /= np.maximum(total, 1.0)[:, None, None]
-    return out
+class _Votes:
+    """A batch of items: a cell per item and judge with the counts of the labels given, cells of an item side by side."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        per_item = pdf["j"].map(len).to_numpy(np.int64)
+        row = np.repeat(np.arange(len(pdf)), per_item)
+        judge, label, count = (np.concatenate([np.asarray(x, t) for x in pdf[c]]) if len(pdf) else np.empty(0, t) for c, t in (("j", np.int64), ("k", np.int64), ("n", float)))
+        first = np.r_[True, (row[1:] != row[:-1]) | (judge[1:] != judge[:-1])] if len(row) else np.empty(0, bool)
+        self.counts = np.zeros((int(first.sum()), len(REACTIONS)))
+        self.counts[np.cumsum(first) - 1, label] = count
+        self.item, self.judge = row[first], judge[first]
+        self.start = np.searchsorted(self.item, np.arange(len(pdf) + 1))
+
+    def by_item(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.start[:-1], axis=0)
+
+    def as_voices(self, voice: np.ndarray) -> np.ndarray:
+        """The counts where judges who vote as one share one vote per item; voice < 0 marks independent judges."""
+        out = self.counts.copy()
+        of = voice[self.judge]
+        bound = np.flatnonzero(of >= 0)
+        if len(bound):
+            _, group = np.unique(self.item[bound] * len(voice) + of[bound], return_inverse=True)
+            total = np.bincount(group, out[bound].sum(axis=1))
+            out[bound] /= np.maximum(total[group], 1.0)[:, None]
+        return out
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Cells (x, y) of one item in every order, a cell with itself included, some at a time."""
+        size = np.diff(self.start)[self.item]  # per cell, the cells of its item
+        upto = np.cumsum(size)
+        at = 0
+        while at < len(size):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+            x = np.repeat(np.arange(at, end), size[at:end])
+            y = self.start[self.item[x]] + np.arange(len(x)) - np.repeat(upto[at:end] - size[at:end] - (upto[at - 1] if at else 0), size[at:end])
+            yield x, y
+            at = end
 
 
 def _log_likelihood(sigma: np.ndarray, tau: np.ndarray) -> np.ndarray:
-    z = sigma[None] + tau[:, None]
-    z -= z.max(axis=3, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=3, keepdims=True))
+    z = sigma + tau
+    z -= z.max(axis=2, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=2, keepdims=True))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -91,154 +117,181 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def _posterior(n: np.ndarray, sigma: np.ndarray | None, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Label posteriors and the log likelihoods of the judges' labels, items' parameters fitted here."""
-    share = n.sum(axis=1)
-    q = share / np.maximum(share.sum(axis=1, keepdims=True), 1e-12)
-    tau = np.zeros((len(n), len(REACTIONS), len(REACTIONS)))
+def _posterior(votes: _Votes, counts: np.ndarray, sigma: np.ndarray | None, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Label posteriors and, per cell, the log likelihoods of its judge's labels, items' parameters fitted here."""
+    share = votes.by_item(counts)
     if sigma is None:
-        return q, np.zeros((len(n), n.shape[1], len(REACTIONS), len(REACTIONS)))
-    seen = n.sum(axis=2)
+        return share / np.maximum(share.sum(axis=1, keepdims=True), 1e-12), None
+    own, seen = sigma[votes.judge], counts.sum(axis=1)
+    tau = np.zeros((len(share), len(REACTIONS), len(REACTIONS)))
     for step in range(INNER):
-        ll = _log_likelihood(sigma, tau)
-        q = _softmax(np.log(prior)[None] + np.einsum("bjk,bjlk->bl", n, ll))
+        ll = _log_likelihood(own, tau[votes.item])
+        q = _softmax(np.log(prior)[None] + votes.by_item(np.einsum("ck,clk->cl", counts, ll)))
         if step == INNER - 1:
             break
-        p = np.exp(ll)
-        mass = np.einsum("bj,bjlk->blk", seen, p)
+        mass = votes.by_item(seen[:, None, None] * np.exp(ll))
         gradient = q[:, :, None] * (share[:, None, :] - mass) - ITEM_RIDGE * tau
         tau += gradient / (q[:, :, None] * mass + ITEM_RIDGE)
     return q, ll
 
 
-def _batches(frames: Iterator[pd.DataFrame], n_judges: int) -> Iterator[pd.DataFrame]:
-    size = max(1, 2_000_000 // (n_judges * len(REACTIONS) ** 2))
+def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, _Votes]]:
     for pdf in frames:
-        for at in range(0, len(pdf), size):
-            yield pdf.iloc[at : at + size]
+        upto = np.cumsum(pdf["j"].map(len).to_numpy(np.int64))
+        at = 0
+        while at < len(pdf):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + AT_ONCE, side="right")))
+            part = pdf.iloc[at:end]
+            yield part, _Votes(part)
+            at = end
+
+
+def _gathered(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows of ``values`` by key."""
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    stacked = np.concatenate(values)
+    return distinct, np.stack([np.bincount(place, stacked[:, i], minlength=len(distinct)) for i in range(stacked.shape[1])], axis=1)
 
 
 def _sums(table: DataFrame, judges: int, sigma, prior, voice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Over all items: the judges' gradient and curvature (or counts without sigma) and the label mass."""
     labels = len(REACTIONS)
+    cells = labels**2
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, h, mass = np.zeros((judges, labels, labels)), np.zeros((judges, labels, labels)), np.zeros(labels)
-        for pdf in _batches(frames, judges):
-            n = _voices(_dense(pdf, judges), voice)
-            q, ll = _posterior(n, sigma, prior)
-            mass += q.sum(axis=0)
-            hits = np.einsum("bl,bjk->jlk", q, n)
-            if sigma is None:
-                g += hits
-            else:
-                expected = np.einsum("bl,bj,bjlk->jlk", q, n.sum(axis=2), np.exp(ll))
-                g += hits - expected
-                h += expected
-        yield pd.DataFrame({"g": [g.ravel()], "h": [h.ravel()], "mass": [mass]})
-
-    rows = table.mapInPandas(fold, "g array<double>, h array<double>, mass array<double>")
-    # element-wise sums in the executors: one row of bounded length reaches the driver per number
-    stacked = rows.select(F.posexplode(F.concat("g", "h", "mass")).alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
-    flat = np.zeros(2 * judges * labels**2 + labels)
-    for at, x in stacked.collect():
-        flat[at] = x
-    cells = judges * labels**2
-    shape = (judges, labels, labels)
-    return flat[:cells].reshape(shape), flat[cells : 2 * cells].reshape(shape), flat[2 * cells :]
-
-
-def _shared_errors(table: DataFrame, judges: int, sigma, prior, voice) -> np.ndarray:
-    """Judge x judge: how much more often than their habits explain two judges make the same error."""
-    labels = len(REACTIONS)
-    base = np.exp(_log_likelihood(sigma, np.zeros((1, labels, labels))))[0]
+        keys, values = [], []
+        for _, votes in _batches(frames):
+            counts = votes.as_voices(voice)
+            q, ll = _posterior(votes, counts, sigma, prior)
+            mine = q[votes.item]
+            hits = np.einsum("cl,ck->clk", mine, counts)
+            expected = np.zeros_like(hits) if sigma is None else np.einsum("cl,c,clk->clk", mine, counts.sum(axis=1), np.exp(ll))
+            both = np.concatenate([(hits - expected).reshape(-1, cells), expected.reshape(-1, cells)], axis=1)
+            mass = np.zeros((1, 2 * cells))
+            mass[0, :labels] = q.sum(axis=0)
+            k, v = _gathered([votes.judge, np.array([-1])], [both, mass])
+            keys.append(k)
+            values.append(v)
+        if keys:
+            k, v = _gathered(keys, values)
+            yield pd.DataFrame({"j": k, "x": list(v)})
+
+    rows = table.mapInPandas(fold, "j long, x array<double>").groupBy("j").agg(*(F.sum(F.get("x", F.lit(i))).alias(f"x{i}") for i in range(2 * cells)))
+    g, h, mass = np.zeros((judges, labels, labels)), np.zeros((judges, labels, labels)), np.zeros(labels)
+    for j, *x in rows.collect():  # a row per judge
+        if j < 0:
+            mass = np.array(x[:labels])
+        else:
+            g[j], h[j] = np.reshape(x[:cells], (labels, labels)), np.reshape(x[cells:], (labels, labels))
+    return g, h, mass
+
+
+def _paired(table: DataFrame, judges: int, names: list[str], measure) -> DataFrame:
+    """(a, b, names): sums over all pairs of votes on an item, by the judges of the pair; ``measure(votes)`` gives a function of cells (x, y)."""
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros((3, judges, judges))
-        for pdf in _batches(frames, judges):
-            n = _dense(pdf, judges)
-            q, _ = _posterior(_voices(n, voice), sigma, prior)
-            for label in range(labels):
-                w = q[:, label]
-                wrong = n.copy()
-                wrong[:, :, label] = 0
-                seen, miss = n.sum(axis=2), wrong.sum(axis=2)
-                rate = base[:, label].copy()
-                rate[:, label] = 0
-                same = np.einsum("b,bik,bjk->ij", w, wrong, wrong)
-                either = np.einsum("b,bi,bj->ij", w, miss, seen)
-                chance = np.einsum("b,bik,bj->ikj", w, wrong, seen)
-                own = np.diag(np.einsum("b,bik->i", w, wrong))  # a vote is no partner of itself
-                out[0] += same - own
-                out[1] += either - own
-                out[2] += np.einsum("ikj,jk->ij", chance, rate) - np.diag(np.einsum("b,bik,ik->i", w, wrong, rate))
-        yield pd.DataFrame({"x": [out.ravel()]})
-
-    rows = table.mapInPandas(fold, "x array<double>").select(F.posexplode("x").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
-    flat = np.zeros(3 * judges * judges)
-    for at, x in rows.collect():
-        flat[at] = x
-    same, either, chance = flat.reshape(3, judges, judges)
-    excess = np.where(same - chance > SURE * np.sqrt(np.maximum(chance, 1.0)), (same - chance) / np.maximum(either, 1e-9), 0.0)
-    return np.minimum(excess, excess.T)
-
-
-def _alike(table: DataFrame, judges: int) -> np.ndarray:
-    """Judge x judge: agreement on common items beyond that of their habits, as Cohen's kappa; nothing is known of the labels yet."""
+        keys, values, held = [], [], 0
+        for _, votes in _batches(frames):
+            of = measure(votes)
+            for x, y in votes.pairs():
+                k, v = _gathered([votes.judge[x] * judges + votes.judge[y]], [of(x, y)])
+                keys.append(k)
+                values.append(v)
+                held += len(k)
+                if held > PAIRS_AT_ONCE:
+                    k, v = _gathered(keys, values)
+                    yield pd.DataFrame({"a": k // judges, "b": k % judges, **dict(zip(names, v.T))})
+                    keys, values, held = [], [], 0
+        if keys:
+            k, v = _gathered(keys, values)
+            yield pd.DataFrame({"a": k // judges, "b": k % judges, **dict(zip(names, v.T))})
+
+    rows = table.mapInPandas(fold, "a long, b long, " + ", ".join(f"{n} double" for n in names))
+    return rows.groupBy("a", "b").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def _shared_errors(table: DataFrame, judges: int, sigma, prior, voice) -> list[tuple[int, int]]:
+    """(a, b), a <= b: judges who make the same error so much more often than their habits explain that they count as one voice.
+
+    (a, a) is a judge whose repeated votes on an item depend on each other so.
+    """
+    base = np.exp(_log_likelihood(sigma, np.zeros((1, 1, 1))))
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, habit = np.zeros((2, judges, judges)), np.zeros((judges, len(REACTIONS)))
-        for pdf in _batches(frames, judges):
-            n = _dense(pdf, judges)
-            seen = n.sum(axis=2)
-            habit += n.sum(axis=0)
-            out[0] += np.einsum("bik,bjk->ij", n, n) - np.diag(seen.sum(axis=0))
-            out[1] += seen.T @ seen - np.diag(seen.sum(axis=0))
-        yield pd.DataFrame({"x": [np.concatenate([out.ravel(), habit.ravel()])]})
-
-    rows = table.mapInPandas(fold, "x array<double>").select(F.posexplode("x").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
-    flat = np.zeros(2 * judges**2 + judges * len(REACTIONS))
-    for at, x in rows.collect():
-        flat[at] = x
-    same, pairs = flat[: 2 * judges**2].reshape(2, judges, judges)
-    habit = flat[2 * judges**2 :].reshape(judges, -1)
-    habit /= np.maximum(habit.sum(axis=1, keepdims=True), 1)
-    chance = habit @ habit.T
-    kappa = (same / np.maximum(pairs, 1) - chance) / np.maximum(1 - chance, 1e-9)
-    return np.where(pairs >= COMMON, kappa, 0.0)
+    def measure(votes: _Votes):
+        n = votes.counts
+        q, _ = _posterior(votes, votes.as_voices(voice), sigma, prior)
+        w = q[votes.item]
+        seen = n.sum(axis=1)
+        missed = seen - (w * n).sum(axis=1)
+
+        def of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            rate = base[votes.judge[y]]
+            same = (n[x] * n[y]).sum(axis=1) - (w[x] * n[x] * n[y]).sum(axis=1)
+            apart = np.einsum("pl,pk,plk->p", w[x], n[x], rate) - np.einsum("pl,pl,pll->p", w[x], n[x], rate)
+            self_ = x == y  # a vote is no partner of itself
+            return np.stack([same - self_ * missed[x], missed[x] * seen[y] - self_ * missed[x], apart * (seen[y] - self_)], axis=1)
 
+        return of
 
-def _first_voices(kappa: np.ndarray) -> np.ndarray:
-    """Groups of judges who agree among themselves and with nobody else.
+    sums = _paired(table, judges, ["same", "either", "chance"], measure)
+    more = F.col("same") - F.col("chance")
+    strong = sums.where((more > SURE * F.sqrt(F.greatest("chance", F.lit(1.0)))) & (more / F.greatest("either", F.lit(1e-9)) > SAME_VOICE)).select("a", "b")
+    both = strong.join(strong.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi").where("a <= b")
+    return sorted((r["a"], r["b"]) for r in both.collect())  # judges who vote as one
+
+
+def _first_voices(table: DataFrame, votes: DataFrame, names: list[str]) -> np.ndarray:
+    """Groups of judges who agree among themselves beyond their habits, as Cohen's kappa, and with nobody else; nothing is known of the labels yet.
 
     Good judges who agree also agree, less so, with mediocre ones; a choir has no such ties.
     """
-    groups = _group_voices(np.where(kappa - np.diag(np.diag(kappa)) > ALIKE, 1.0, 0.0))
-    for g in set(groups[groups >= 0].tolist()):
-        who = groups == g
-        inside = kappa[np.ix_(who, who)][~np.eye(who.sum(), dtype=bool)].mean()
-        if np.abs(kappa[np.ix_(who, ~who)]).max(initial=0.0) > inside / 2:
-            groups[who] = -1
-    return groups
-
-
-def _group_voices(shared: np.ndarray) -> np.ndarray:
-    """Union of judges whose shared errors pass SAME_VOICE; a judge in no union is -1, or a voice of its own if its repeats depend."""
-    judges = len(shared)
+    judges = len(names)
+    number = {name: i for i, name in enumerate(names)}
+    habit = np.zeros((judges, len(REACTIONS)))
+    for r in votes.groupBy("judge_id", "reaction").count().collect():  # a row per judge and reaction
+        habit[number[r["judge_id"]], REACTIONS.index(r["reaction"])] = r["count"]
+    habit /= np.maximum(habit.sum(axis=1, keepdims=True), 1)
+    habits = table.sparkSession.createDataFrame([(i, h.tolist()) for i, h in enumerate(habit)], "j long, h array<double>")
+
+    def measure(votes: _Votes):
+        n, seen = votes.counts, votes.counts.sum(axis=1)
+        return lambda x, y: np.stack([(n[x] * n[y]).sum(axis=1), seen[x] * seen[y]], axis=1)
+
+    met = _paired(table, judges, ["same", "pairs"], measure).where((F.col("a") < F.col("b")) & (F.col("pairs") >= COMMON))
+    side = lambda c, out: F.broadcast(habits.select(F.col("j").alias(c), F.col("h").alias(out)))  # noqa: E731 - at most MAX_JUDGES rows
+    chance = F.aggregate(F.zip_with("ha", "hb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    kappa = (F.col("same") / F.col("pairs") - chance) / F.greatest(1 - chance, F.lit(1e-9))
+    known = materialize(met.join(side("a", "ha"), "a").join(side("b", "hb"), "b").select("a", "b", kappa.alias("kappa")), "alike")
+    edges = [(r["a"], r["b"]) for r in known.where(F.col("kappa") > ALIKE).collect()]  # judges who agree nearly always
+    voice = _group_voices(judges, edges)
+    members = known.sparkSession.createDataFrame([(i,) for i in np.flatnonzero(voice >= 0).tolist()], "m long")
+    near = known.join(F.broadcast(members), (F.col("a") == F.col("m")) | (F.col("b") == F.col("m")), "left_semi").collect()  # pairs of these judges
+    for g in set(voice[voice >= 0].tolist()):
+        who = voice == g
+        inside = 2 * sum(r["kappa"] for r in near if who[r["a"]] and who[r["b"]]) / (who.sum() * (who.sum() - 1))
+        if max((abs(r["kappa"]) for r in near if who[r["a"]] != who[r["b"]]), default=0.0) > inside / 2:
+            voice[who] = -1
+    return voice
+
+
+def _group_voices(judges: int, edges: list[tuple[int, int]]) -> np.ndarray:
+    """The least judge of everyone's union by ``edges``; a judge in no union is -1, or a voice of its own with an edge to itself."""
     root = list(range(judges))
 
     def find(x: int) -> int:
         while root[x] != x:
+            root[x] = root[root[x]]
             x = root[x]
         return x
 
-    for a in range(judges):
-        for b in range(a):
-            if shared[a, b] > SAME_VOICE:
-                root[find(a)] = find(b)
-    groups = np.array([find(x) for x in range(judges)])
-    lone = np.array([(groups == g).sum() == 1 for g in groups])
-    return np.where(lone & ~(np.diag(shared) > SAME_VOICE), -1, groups)
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    groups = np.array([find(x) for x in range(judges)], dtype=np.int64)
+    bound = np.zeros(judges, bool)
+    for a, b in edges:
+        bound[a] = bound[b] = True
+    return np.where(bound, groups, -1)
 
 
 class Consensus:
@@ -248,7 +301,7 @@ class Consensus:
         self.votes = materialize(valid_votes(votes), "votes")
         self.names = [r[0] for r in self.votes.select("judge_id").distinct().orderBy("judge_id").limit(MAX_JUDGES + 1).collect()]
         if len(self.names) > MAX_JUDGES:
-            raise ValueError(f"more than {MAX_JUDGES} judges; raise MAX_JUDGES if the driver can hold their square")
+            raise ValueError(f"more than {MAX_JUDGES} judges; raise MAX_JUDGES if the tasks can hold their parameters")
         self.table = materialize(vote_table(self.votes, self.names), "items")
         self._fit()
 
@@ -260,10 +313,10 @@ class Consensus:
         if not judges:
             return
         # lest a choir pass for the truth; the fit then tells shared errors from being right together
-        self.voice = _first_voices(_alike(self.table, judges))
+        self.voice = _first_voices(self.table, self.votes, self.names)
         for _ in range(4):
             self._ascend(judges)
-            voice = _group_voices(_shared_errors(self.table, judges, self.sigma, self.prior, self.voice))
+            voice = _group_voices(judges, _shared_errors(self.table, judges, self.sigma, self.prior, self.voice))
             if (voice == self.voice).all():
                 break
             self.voice = voice
@@ -283,14 +336,13 @@ class Consensus:
 
     def labels(self) -> DataFrame:
         """(item, reaction, confidence, n_votes): ties go to the reaction named first in REACTIONS."""
-        judges, sigma, prior, voice = len(self.names), self.sigma, self.prior, self.voice
+        sigma, prior, voice = self.sigma, self.prior, self.voice
 
         def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in _batches(frames, max(judges, 1)):
-                n = _dense(pdf, judges)
-                q, _ = _posterior(_voices(n, voice), sigma, prior)
-                best = q.argmax(axis=1)
-                yield pd.DataFrame({"item": pdf["item"].to_numpy(), "reaction": np.array(REACTIONS)[best], "confidence": q.max(axis=1), "n_votes": n.sum(axis=(1, 2)).astype("int64")})
+            for pdf, votes in _batches(frames):
+                q, _ = _posterior(votes, votes.as_voices(voice), sigma, prior)
+                cast = votes.by_item(votes.counts).sum(axis=1).astype("int64")
+                yield pd.DataFrame({"item": pdf["item"].to_numpy(), "reaction": np.array(REACTIONS)[q.argmax(axis=1)], "confidence": q.max(axis=1), "n_votes": cast})
 
         return self.table.mapInPandas(judge, "item string, reaction string, confidence double, n_votes long")
 
