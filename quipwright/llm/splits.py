@@ -6,6 +6,10 @@ components are found by random-mate contraction and dealt out by cumulative weig
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quipwright.session import materialize, release
@@ -17,6 +21,8 @@ HEAVY = 0.005
 MAX_ROUNDS = 200
 #: The first, large rounds are unwound one by one; the later ones, a small part of all vertices, together.
 UNWIND = 4
+#: Edges few enough for one task to run all further rounds over: the long tail of the contraction, where a round costs more to start than to do.
+TAIL = 10_000
 
 
 def clean_key(column) -> F.Column:
@@ -31,7 +37,7 @@ def contract(edges: DataFrame, seed: int = 17) -> DataFrame:
     In each round every vertex draws a coin from a hash of itself and the round. A tails vertex
     with a heads neighbour collapses into the neighbour of least hash; the edges are rewritten,
     loops and repeats dropped, until none is left. The rounds' collapses are then unwound from the
-    last to the first (the small late rounds at once, by path doubling), so each vertex gets the vertex its component ended in. Vertices without an
+    last to the first (the small late rounds at once, by path doubling; the last few thousand edges in one task), so each vertex gets the vertex its component ended in. Vertices without an
     edge are not in the result. A round is a partial aggregate and two equi-joins; a hub with a
     third of all edges is one row of the collapse table, its edges are split by the skew join.
     Null vertices and loops are ignored, an empty table gives an empty one.
@@ -41,7 +47,10 @@ def contract(edges: DataFrame, seed: int = 17) -> DataFrame:
     live = materialize(both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     collapses: list[DataFrame] = []
     for round_ in range(MAX_ROUNDS):
-        if not live.take(1):
+        left_over = live.count()
+        if left_over <= TAIL:
+            if left_over:
+                collapses.append(materialize(_tail(live, seed), "hop"))
             break
         coin = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(seed), F.lit(round_)), F.lit(2)) == 0
         ends = live.select("u", "v").union(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -81,6 +90,31 @@ def contract(edges: DataFrame, seed: int = 17) -> DataFrame:
     return labels
 
 
+def _tail(live: DataFrame, seed: int) -> DataFrame:
+    """(u, into): the collapses of all further rounds over at most TAIL edges, composed, the rounds run inside one task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(frames)
+        if not parts:
+            return
+        pdf = pd.concat(parts, ignore_index=True)
+        names, place = np.unique(np.concatenate([pdf["u"].to_numpy(object), pdf["v"].to_numpy(object)]), return_inverse=True)
+        u, v = place[: len(pdf)], place[len(pdf) :]
+        into, rng = np.arange(len(names)), np.random.default_rng(seed)
+        while len(u):
+            heads = rng.random(len(names)) < 0.5
+            a, b = np.concatenate([u, v]), np.concatenate([v, u])
+            mates = ~heads[a] & heads[b]
+            hop = np.arange(len(names))
+            hop[a[mates]] = b[mates]
+            into, u, v = hop[into], hop[u], hop[v]
+            u, v = u[u != v], v[u != v]
+        moved = np.flatnonzero(into != np.arange(len(names)))
+        yield pd.DataFrame({"u": names[moved], "into": names[into[moved]]})
+
+    return live.select("u", "v").coalesce(1).mapInPandas(run, "u string, into string")
+
+
 def _doubled(collapses: list[DataFrame]) -> DataFrame | None:
     """(node, component) of the collapses of many small rounds: a vertex collapses once, so they form a forest whose paths are halved by each join."""
     if not collapses:

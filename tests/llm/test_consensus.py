@@ -63,3 +63,21 @@ def test_ties_are_settled_alike(spark):
     rows = [(1, "a", "j", "silence", True), (2, "a", "k", "laugh", True)]
     results = {tuple(sorted((r["item"], r["reaction"]) for r in Consensus(table(spark, order)).labels().collect())) for order in (rows, rows[::-1])}
     assert len(results) == 1
+
+
+def test_pairs_of_cells_in_pieces(monkeypatch):
+    import pandas as pd
+
+    from quipwright.llm import consensus as co
+
+    monkeypatch.setattr(co, "PAIRS_AT_ONCE", 5)
+    votes = co._Votes(pd.DataFrame({"j": [[0, 0, 2], [1], [0, 1, 2, 3]], "k": [[0, 1, 0], [2], [0, 1, 2, 3]], "n": [[1.0, 2.0, 1.0], [1.0], [1.0] * 4]}))
+    assert votes.counts[0].tolist() == [1.0, 2.0, 0.0, 0.0] and votes.judge.tolist() == [0, 2, 1, 0, 1, 2, 3]
+    got = sorted((int(a), int(b)) for x, y in votes.pairs() for a, b in zip(x, y))
+    assert got == sorted((a, b) for a in range(7) for b in range(7) if votes.item[a] == votes.item[b])
+
+
+def test_many_judges_with_few_votes(spark):
+    rows = [(n, f"i{n % 40}", f"j{n}", "laugh" if n % 3 else "groan", True) for n in range(1600)]
+    model = Consensus(table(spark, rows))
+    assert {r["reaction"] for r in model.labels().collect()} == {"laugh"} and model.judges().count() == 1600

@@ -1,10 +1,18 @@
 import random
 
+import pytest
+
 from quipwright.llm import splits as sp
 
 SCHEMA = "id string, is_genuine int, control_type string, setup_key string, author_key string, usage string, component string, u string"
 
 
+@pytest.fixture(autouse=True, params=["rounds", "tail"])
+def tail(request, monkeypatch):
+    """Every test once with all rounds as joins and once with the small rest in one task."""
+    monkeypatch.setattr(sp, "TAIL", 0 if request.param == "rounds" else 10_000)
+
+
 def table(spark, rows):
     return spark.createDataFrame([(i, 1, None, s, a, u, "clash", "clash") for i, s, a, u in rows], SCHEMA)
 
