@@ -53,9 +53,10 @@ def digest(*parts: Column, length: int = 20) -> Column:
 def surface_signature(c: Column) -> Column:
     """Coarse shape of a text: bins of words and characters, counts of three marks."""
     count = lambda mark: F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
-    n = F.size(words(c, "[a-z0-9]+"))
+    n = F.size(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_]+)"), 1))
+    # fixed values: widths of the bins and the last one
     return F.struct(
-        F.least(F.floor(n / 5), F.lit(20)).cast("int").alias("words"), F.least(F.floor(F.length(c) / 25), F.lit(40)).cast("int").alias("chars"),
+        F.least(F.floor(n / 5), F.lit(20)).cast("int").alias("words"), F.least(F.floor(F.length(c) / 30), F.lit(20)).cast("int").alias("chars"),
         count(".").alias("points"), count(",").alias("commas"), count(":").alias("colons"),
     )
 

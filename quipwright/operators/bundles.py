@@ -10,7 +10,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quipwright.operators import retrieval, validate
+from quipwright.functions import text as tx
+from quipwright.operators import corpus, retrieval, validate
 
 HEX64, SPLITS = "^[0-9a-f]{64}$", ("train", "validation", "test")
 # Fields that name a person; fields that hold a secret; rights and licences.
@@ -166,6 +167,46 @@ def study(materials: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
+# What names a place or a person on the net; the share of arms that the shape of a text may tell.
+LINKS, SHAPE_TELLS = r"(?i)https?://|www\.|@[a-z0-9_]{2,}", 0.8
+
+
+def audit(df: DataFrame, key: str, text: str, split: str, balanced: Sequence[str], isolated: Sequence[str], single: Sequence[str], labels: Sequence[str] = ()) -> DataFrame:
+    """(check, ok, n): the audit of a release, each check with the number that decided it.
+
+    Ids and normalised texts occur once; the values of each of ``balanced`` are equally frequent; no value of ``isolated``
+    lies in several splits; each of ``single`` has one value; none of ``labels`` is given; no text has a link or handle;
+    and the shape of a text does not tell its first balanced value (n: per 1,000 texts that it tells). A null is a value.
+    """
+    say = lambda name, ok, n, frame: frame.select(F.lit(name).alias("check"), F.coalesce(ok, F.lit(False)).alias("ok"), F.coalesce(n, F.lit(0)).cast("long").alias("n"))
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    normal = F.coalesce(F.array_join(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1), " "), F.lit(""))
+    whole = df.agg(
+        F.count("*").alias("n"), F.count_distinct(key).alias("ids"), F.count_if(F.col(text).rlike(LINKS)).alias("links"),
+        *(F.count_distinct(value(c)).alias(f"one_{c}") for c in single), *(F.count(c).alias(f"given_{c}") for c in labels),
+    )
+    texts = df.groupBy(normal.alias("t")).agg(F.count("*").alias("c")).agg(F.sum(F.col("c") - 1).alias("n"))
+    parts = [
+        say("rows_present", F.col("n") > 0, F.col("n"), whole), say("unique_ids", F.col("n") == F.col("ids"), F.col("n") - F.col("ids"), whole), say("unique_texts", F.coalesce("n", F.lit(0)) == 0, F.col("n"), texts),
+        say("no_links", F.col("links") == 0, F.col("links"), whole),
+    ]
+    for c in balanced:
+        spread = df.groupBy(c).agg(F.count("*").alias("c")).agg((F.max("c") - F.min("c")).alias("n"))
+        parts.append(say("balanced" if len(balanced) == 1 else f"balanced_{c}", F.col("n") == 0, F.col("n"), spread))
+    for c in isolated:
+        torn = df.groupBy(c).agg(F.count_distinct(split).alias("s")).agg(F.count_if(F.col("s") > 1).alias("n"))
+        parts.append(say(f"{c}_isolation", F.col("n") == 0, F.col("n"), torn))
+    parts += [say("one_licence" if c == "license" else f"one_{c}", F.col(f"one_{c}") == 1, F.col(f"one_{c}"), whole) for c in single]
+    parts += [say(f"no_{c}", F.col(f"given_{c}") == 0, F.col(f"given_{c}"), whole) for c in labels]
+    if balanced:
+        told = corpus.majority_share(df.where(F.col(text).isNotNull()).select(balanced[0], tx.surface_signature(F.col(text)).alias("shape")), F.col(balanced[0]), "shape")
+        parts.append(say("shape_tells", F.col("majority") < SHAPE_TELLS, F.round(F.col("majority") * 1000), told))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
 def summary(problems: DataFrame) -> DataFrame:
     """(problem, n, first): how often each occurs and the first record that has it."""
     return problems.groupBy("problem").agg(F.count("*").alias("n"), F.min("record").alias("first"))

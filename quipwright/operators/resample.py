@@ -118,6 +118,8 @@ def spearman_intervals(df: DataFrame, groups: list[str], x: str, y: str, order:
 
 #: Most different values of the pool of ``against_pool``; a rating has a few dozen.
 MOST_VALUES = 1_000_000
+#: Most groups of ``between_groups``.
+MOST_GROUPS = 100_000
 
 
 def against_pool(df: DataFrame, group: str, value: str, least: int = 30, replicates: int = 4000, seed: int = 7) -> DataFrame:
@@ -242,19 +244,35 @@ def wilcoxon(df: DataFrame, groups: list[str], difference: str) -> DataFrame:
     return each.select(*groups, "n", "wins", "losses", "ties", "w", z.alias("z"))
 
 
-def between_groups(df: DataFrame, group: str, value: str, order: str, replicates: int = 1000, seed: int = 7) -> DataFrame:
-    """(n, groups, spread, p): is the variance of group means above that of shuffled labels."""
-    rows = df.withColumn("_all", F.lit(1))
+def between_groups(df: DataFrame, group: str, value: str, replicates: int = 1000, seed: int = 7) -> DataFrame:
+    """(n, groups, spread, p): is the variance of group means above that of shuffled labels.
 
-    def f(key: tuple, pdf: pd.DataFrame) -> dict:
-        x = pdf[value].to_numpy(float)
-        _, g = np.unique(pdf[group].to_numpy(), return_inverse=True)
-        n = np.bincount(g)
-        spread = lambda v: float(np.var(np.bincount(g, weights=v) / n))
-        seen, rng = spread(x), generator(seed)
-        return {"n": len(x), "groups": len(n), "spread": seen, "p": (sum(spread(rng.permutation(x)) >= seen - 1e-12 for _ in range(replicates)) + 1) / (replicates + 1)}
+    A shuffle deals the counts of the values to the groups without replacement, so only the histogram of the values (at
+    most MOST_VALUES, checked) and the sizes of the groups (at most MOST_GROUPS, checked) travel; the replicates are spread over the tasks.
+    """
+    rows = df.select(group, F.col(value).cast("double").alias("_x")).dropna()
+    counts = rows.groupBy("_x").agg(F.count("*").alias("c")).limit(MOST_VALUES + 1).toPandas().sort_values("_x")
+    held = rows.groupBy(group).agg(F.count("*").alias("n"), F.avg("_x").alias("m")).limit(MOST_GROUPS + 1).toPandas().sort_values(group)
+    if len(counts) > MOST_VALUES or len(held) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_VALUES} different values or {MOST_GROUPS} groups; bin them first")
+    x, c, sizes = counts["_x"].to_numpy(float), counts["c"].to_numpy(np.int64), held["n"].to_numpy(np.int64)
+    spread = float(np.var(held["m"].to_numpy(float))) if len(held) else 0.0
 
-    return _grouped(rows, ["_all"], [group, value], order, "n long, groups long, spread double, p double", f).drop("_all")
+    def shuffled(frames):
+        for pdf in frames:
+            hits = 0
+            for replicate in pdf["id"]:
+                rng, left, means = generator(seed, int(replicate)), c.copy(), []
+                for n in sizes:
+                    draw = rng.multivariate_hypergeometric(left, int(n), method="marginals")
+                    left = left - draw
+                    means.append(draw @ x / n)
+                hits += float(np.var(means)) >= spread - 1e-12
+            yield pd.DataFrame({"hits": [hits]})
+
+    spark = df.sparkSession
+    tested = spark.range(replicates).mapInPandas(shuffled, "hits long").agg(((F.sum("hits") + 1) / (replicates + 1)).alias("p"))
+    return tested.select(F.lit(int(c.sum())).cast("long").alias("n"), F.lit(len(sizes)).cast("long").alias("groups"), F.lit(spread).alias("spread"), "p")
 
 
 def split_half(df: DataFrame, groups: list[str], counts: list[str], order: str, replicates: int = 50, seed: int = 7) -> DataFrame:

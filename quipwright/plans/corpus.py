@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quipwright.functions import rights, text as tx
+from quipwright.functions import scores, rights, text as tx
 from quipwright.operators import corpus as op, matching
 from quipwright.plans.base import Plans
 from quipwright.session import table
@@ -179,15 +179,34 @@ def split_leak_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @P.query(r"""
-with s as (select source, [least(floor(len(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) / 5), 20), least(floor(length(text) / 25), 40),
+with s as (select source, [least(floor(len(regexp_extract_all(text, '([\p{L}\p{N}_]+)', 1)) / 5), 20), least(floor(length(text) / 30), 20),
    length(text) - length(replace(text, '.', '')), length(text) - length(replace(text, ',', '')), length(text) - length(replace(text, ':', ''))] g from documents where text is not null),
-c as (select source, g, count(*) c from s group by all), b as (select source, max(c) t, sum(c) n from c group by source)
+c as (select source, g, count(*) c from s group by all), b as (select g, max(c) t, sum(c) n from c group by g)
 select cast(sum(n) as bigint) n, round(sum(t) / sum(n), 9) majority from b""")
 def surface_signature_majority(spark: SparkSession, d: str) -> DataFrame:
-    rows = op.majority_share(table(spark, d, "documents").where("text is not null"), tx.surface_signature(F.col("text")), "source")
+    """How often the commonest source of a text's shape is its source."""
+    shaped = table(spark, d, "documents").where("text is not null").select("source", tx.surface_signature(F.col("text")).alias("shape"))
+    rows = op.majority_share(shaped, F.col("source"), "shape")
     return rows.withColumn("majority", F.round("majority", 9))
 
 
+@P.query(r"""
+with x as (select doc_id, text, source arm, lang premise, case when doc_id % 10 = 8 then 'validation' when doc_id % 10 = 9 then 'test' else 'train' end split, license from documents),
+n as (select coalesce(array_to_string(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), ' '), '') t, count(*) c from x group by 1)
+select 'rows_present' as check, (select count(*) from x) > 0 ok, (select count(*) from x) n
+union all select 'unique_ids', count(*) = count(distinct doc_id), count(*) - count(distinct doc_id) from x
+union all select 'unique_texts', sum(c) = count(*), cast(sum(c) - count(*) as bigint) from n
+union all select 'balanced', max(c) = min(c), max(c) - min(c) from (select count(*) c from x group by arm)
+union all select 'premise_isolation', count(*) = 0, count(*) from (select premise from x group by premise having count(distinct split) > 1)
+union all select 'one_licence', count(distinct coalesce(license, '')) = 1, count(distinct coalesce(license, '')) from x
+union all select 'no_links', count(*) filter (regexp_matches(text, '(?i)https?://|www\.|@[a-z0-9_]{2,}')) = 0, count(*) filter (regexp_matches(text, '(?i)https?://|www\.|@[a-z0-9_]{2,}')) from x""")
+def release_audit(spark: SparkSession, d: str) -> DataFrame:
+    from quipwright.operators import bundles
+
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text", F.col("source").alias("arm"), F.col("lang").alias("premise"), scores.split_by_index(F.col("doc_id")).alias("split"), "license")
+    return bundles.audit(rows, "item_id", "text", "split", balanced=["arm"], isolated=["premise"], single=["license"]).where("check <> 'shape_tells'")
+
+
 @P.query("""
 select doc_id, band, turn from (
   select doc_id, band, row_number() over (partition by band order by sha256(cast(doc_id as varchar)), doc_id) turn

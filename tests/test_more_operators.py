@@ -278,3 +278,23 @@ def test_pcm_of_every_width():
     for width in (2, 3, 4):
         data = b"".join(int(x * 256 ** (width - 1)).to_bytes(width, "little", signed=True) for x in wave)
         assert (audio.decode(data, width) / 256 ** (width - 1)).tolist() == wave.tolist()
+
+
+def test_between_groups(spark):
+    from quipwright.operators import resample
+
+    apart = spark.createDataFrame([(g, float(i + 5 * (g == "c"))) for g in "abc" for i in range(20)], "g string, x double")
+    alike = spark.createDataFrame([(g, float(i)) for g in "abc" for i in range(20)], "g string, x double")
+    found, none = (resample.between_groups(df, "g", "x", 300).first() for df in (apart, alike))
+    assert found["p"] < 0.05 and none["p"] == 1.0 and (found["n"], found["groups"]) == (60, 3)
+
+
+def test_audit(spark):
+    from quipwright.operators import bundles
+
+    rows = [(1, "One text.", "a", "p", "train", "CC0", None), (2, "one TEXT", "b", "p", "test", "CC0", 0.5), (2, "see www.x.y", "b", "q", "test", None, None)]
+    df = spark.createDataFrame(rows, "item_id int, text string, arm string, premise string, split string, license string, label double")
+    got = {r["check"]: (r["ok"], r["n"]) for r in bundles.audit(df, "item_id", "text", "split", ["arm"], ["premise"], ["license"], ["label"]).collect()}
+    assert got == {"rows_present": (True, 3), "unique_ids": (False, 1), "unique_texts": (False, 1), "no_links": (False, 1), "balanced": (False, 1), "premise_isolation": (False, 1), "one_licence": (False, 2), "no_label": (False, 1), "shape_tells": (False, 1000)}
+    empty = {r["check"]: r["ok"] for r in bundles.audit(df.limit(0), "item_id", "text", "split", ["arm"], ["premise"], ["license"]).collect()}
+    assert empty["rows_present"] is False and empty["unique_texts"]
