@@ -198,11 +198,11 @@ def axes_address(axes: Column, least: float = 0.08, most: int = 4) -> Column:
 
 
 def axes_match(left: Column, right: Column) -> Column:
-    """struct(distance, verdict, widest): Euclidean distance of two maps of axes, near below 0.45 and apart from 0.9 on, and the axis of the widest gap (ties by name)."""
+    """struct(distance, verdict, widest): Euclidean distance of two maps of axes, in-vibe below 0.45 and off-vibe from 0.9 on, and the axis of the widest gap (ties by name)."""
     gaps = F.map_entries(F.map_zip_with(left, right, lambda _, a, b: F.abs(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0)))))
     far = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, e: s + e["value"] * e["value"]))
     widest = F.get(F.array_sort(F.transform(gaps, lambda e: F.struct((-e["value"]).alias("g"), e["key"].alias("k")))), F.lit(0))["k"]
-    return F.struct(F.round(far, 3).alias("distance"), F.when(far < 0.45, "near").when(far < 0.9, "partial").otherwise("apart").alias("verdict"), widest.alias("widest"))
+    return F.struct(F.round(far, 3).alias("distance"), F.when(far < 0.45, "in-vibe").when(far < 0.9, "stretch").otherwise("off-vibe").alias("verdict"), widest.alias("widest"))
 
 
 def share_cut(text: Column, share: float = 0.4) -> Column:
@@ -283,7 +283,7 @@ def chosen_slots(slots: Column, seed: Column) -> Column:
 
 def unmarked(text: Column) -> Column:
     """A text without the marks of emphasis."""
-    return F.trim(F.regexp_replace(text, r"[*_`~]+", ""))
+    return F.trim(F.regexp_replace(text, r"[*_`]+", ""))
 
 
 def from_percentile(values: Column, share: float) -> Column:

@@ -13,7 +13,7 @@ from quipwright.operators import ranks, studies, validate
 from quipwright.sources import sinks
 
 # Seconds of a beat at least, words a second, the hold after a turn, the pause between beats.
-LEAST_BEAT, WORDS_A_SECOND, HOLD, PAUSE = 1.2, 2.5, 0.8, 0.25
+LEAST_BEAT, WORDS_A_SECOND, HOLD, PAUSE = 1.2, 2.6, 0.8, 0.4
 
 
 def graded_pairs(df: DataFrame, key: str, text: str, edits: tuple[str, str], grades: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -41,15 +41,15 @@ def screened_candidates(df: DataFrame, setup: str, punchline: str, group: str, l
 
 
 def timed_beats(df: DataFrame, key: str, script: str) -> DataFrame:
-    """(key, position, beat, said, visual, begins, ends) of scripts in beats HOOK:, BUILD: and SNAP:, what is shown in brackets.
+    """(key, position, beat, said, visual, begins, ends) of scripts in lines of HOOK:, BUILD: and SNAP:, what is shown in brackets.
 
     A beat lasts as long as its words are spoken, at least LEAST_BEAT seconds, a turn (SNAP) HOLD longer; PAUSE parts beats.
     """
-    parts = F.regexp_extract_all(F.concat(F.lit("\n"), F.col(script)), F.lit(r"(?is)\n\s*((?:HOOK|BUILD|SNAP):.*?)(?=\n\s*(?:HOOK|BUILD|SNAP):|$)"), 1)
-    rows = df.select(key, F.posexplode(parts).alias("position", "part"))
-    body = F.regexp_replace("part", r"(?is)^\w+:\s*", "")
-    rows = rows.select(key, "position", F.upper(F.regexp_extract("part", r"^(\w+):", 1)).alias("beat"), F.trim(tx.squeeze(F.regexp_replace(body, r"\[[^\]]*\]", ""))).alias("said"), F.regexp_extract(body, r"\[([^\]]*)\]", 1).alias("visual"))
-    words = F.when(F.col("said") == "", 0).otherwise(F.size(F.split("said", " ")))
+    lines = F.regexp_extract_all(F.col(script), F.lit(r"(?i)((?:HOOK|BUILD|SNAP)\s*:\s*.+)"), 1)
+    rows = df.select(key, F.posexplode(lines).alias("position", "part"))
+    body = F.regexp_replace("part", r"^\w+\s*:\s*", "")
+    rows = rows.select(key, "position", F.upper(F.regexp_extract("part", r"^(\w+)", 1)).alias("beat"), F.trim(F.regexp_replace(body, r"\[.+?\]", "")).alias("said"), F.regexp_extract(body, r"\[(.+?)\]", 1).alias("visual"))
+    words = F.when(F.col("said") == "", 0).otherwise(F.size(F.split("said", r"\s+")))
     lasts = F.greatest(F.lit(LEAST_BEAT), words / WORDS_A_SECOND) + F.when(F.col("beat") == "SNAP", HOLD).otherwise(0.0)
     before = F.coalesce(F.sum(F.col("_l") + PAUSE).over(W.partitionBy(key).orderBy("position").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     timed = rows.withColumn("_l", lasts).withColumn("_b", before)

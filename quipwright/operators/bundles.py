@@ -14,13 +14,15 @@ from quipwright.functions import text as tx
 from quipwright.operators import corpus, retrieval, validate
 
 HEX64, SPLITS = "^[0-9a-f]{64}$", ("train", "validation", "test")
+# Fixed value: the form of a key that stands for a person.
+PSEUDONYM = "^[a-z][a-z0-9_-]{7,127}$"
 # Fields that name a person; fields that hold a secret; rights and licences.
-IDENTITY = ("name", "email", "phone", "address", "ip_address", "user_id", "username", "full_name")
+IDENTITY = ("name", "full_name", "email", "phone", "address", "ip", "ip_address", "birth_date", "date_of_birth", "government_id", "username", "handle")
 SECRETS = ("api_key", "authorization", "token", "access_token", "secret", "password")
-NO_LICENCE = ("", "NOASSERTION", "UNKNOWN", "NONE")
+NO_LICENCE = ("", "NOASSERTION", "NONE", "UNKNOWN", "UNLICENSED")
 RIGHTS_FLAGS = ("redistribution_allowed", "research_allowed", "derivatives_allowed")
 # The arms of a control and the texts it must have.
-ARMS = ("expected_literal", "surprising_unresolved", "surprising_resolved", "explained_resolved")
+ARMS = ("expected_literal", "surprising_unresolved", "surprising_resolved", "resolved_overexplained")
 CONTROL_TEXTS = ("text", "setup", "punchline", "expected_frame", "alternate_frame")
 RATINGS = ("familiarity", "expectedness", "surprise", "resolution", "funniness", "offensiveness", "comprehensibility")
 
@@ -74,9 +76,9 @@ def controls(df: DataFrame, licence: str, origin: str = "procedural", arms: Sequ
 def ratings(df: DataFrame, items: DataFrame, protocol: str) -> DataFrame:
     """Problems of human ratings: marks of 1 to 7, pseudonymous raters, zoned times, known items, one rating of a rater per item."""
     rules = {
-        **{f"{c}_out_of_range": number_in(F.col(c), 1, 7, whole=True) for c in RATINGS}, "rater_not_pseudonymous": F.col("rater_key").rlike("^[0-9a-f]{32,64}$"),
+        **{f"{c}_out_of_range": number_in(F.col(c), 1, 7, whole=True) for c in RATINGS}, "rater_not_pseudonymous": F.col("rater_key").rlike(PSEUDONYM),
         "wrong_protocol": F.col("protocol_id") == protocol, "no_consent": F.length("consent_version") >= 2, "time_without_zone": validate.is_zoned_time(F.col("collected_at_utc")),
-        "invalid_origin": F.col("data_origin") == "human_observed",
+        "invalid_origin": F.col("data_origin") == "human_observed", "invalid_id": F.length("rating_id") >= 8,
     }
     unknown = validate.orphans(df, items, "item_id", "item_id").select(F.col("rating_id").cast("string").alias("record"), F.lit("unknown_item").alias("problem"))
     twice = df.groupBy("rater_key", "item_id").agg(F.count("*").alias("n"), F.min(F.col("rating_id").cast("string")).alias("record")).where("n > 1").select("record", F.lit("rated_twice").alias("problem"))
@@ -86,7 +88,7 @@ def ratings(df: DataFrame, items: DataFrame, protocol: str) -> DataFrame:
 def contributions(df: DataFrame) -> DataFrame:
     """Problems of texts that people gave: who, that they may, length, language and time."""
     rules = {
-        "invalid_id": F.length("contribution_id") >= 8, "contributor_not_pseudonymous": F.col("contributor_key").rlike("^[0-9a-f]{32,64}$"), "not_affirmed": F.col("authorship_attestation") & F.col("cc0_affirmation"),
+        "invalid_id": F.length("contribution_id") >= 8, "contributor_not_pseudonymous": F.col("contributor_key").rlike(PSEUDONYM), "not_affirmed": F.col("authorship_attestation") & F.col("cc0_affirmation"),
         "invalid_origin": (F.col("data_origin") == "human_original") & F.col("human_authored"), "text_length": F.length("text").between(3, 20_000), "language": F.length("language").between(2, 35),
         "no_consent": F.length("consent_version") >= 2, "time_without_zone": validate.is_zoned_time(F.col("submitted_at_utc")),
     }
@@ -168,7 +170,7 @@ def study(materials: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 # What names a place or a person on the net; the share of arms that the shape of a text may tell.
-LINKS, SHAPE_TELLS = r"(?i)https?://|www\.|@[a-z0-9_]{2,}", 0.8
+LINKS, SHAPE_TELLS = r"(?i)https?://|@[a-z0-9_]|\b(?:facebook|instagram|tiktok|youtube|twitter|reddit)\b", 0.8
 
 
 def audit(df: DataFrame, key: str, text: str, split: str, balanced: Sequence[str], isolated: Sequence[str], single: Sequence[str], labels: Sequence[str] = ()) -> DataFrame:

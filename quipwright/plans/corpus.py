@@ -199,7 +199,7 @@ union all select 'unique_texts', sum(c) = count(*), cast(sum(c) - count(*) as bi
 union all select 'balanced', max(c) = min(c), max(c) - min(c) from (select count(*) c from x group by arm)
 union all select 'premise_isolation', count(*) = 0, count(*) from (select premise from x group by premise having count(distinct split) > 1)
 union all select 'one_licence', count(distinct coalesce(license, '')) = 1, count(distinct coalesce(license, '')) from x
-union all select 'no_links', count(*) filter (regexp_matches(text, '(?i)https?://|www\.|@[a-z0-9_]{2,}')) = 0, count(*) filter (regexp_matches(text, '(?i)https?://|www\.|@[a-z0-9_]{2,}')) from x""")
+union all select 'no_links', count(*) filter (regexp_matches(text, '(?i)https?://|@[a-z0-9_]|\b(?:facebook|instagram|tiktok|youtube|twitter|reddit)\b')) = 0, count(*) filter (regexp_matches(text, '(?i)https?://|@[a-z0-9_]|\b(?:facebook|instagram|tiktok|youtube|twitter|reddit)\b')) from x""")
 def release_audit(spark: SparkSession, d: str) -> DataFrame:
     from quipwright.operators import bundles
 

@@ -23,7 +23,7 @@ def test_timed_beats(spark):
     script = "HOOK: one two three four five [a door]\nBUILD: six\nSNAP: seven eight"
     rows = am.timed_beats(spark.createDataFrame([(1, script), (2, "nothing"), (3, None)], "k int, t string"), "k", "t").orderBy("position").collect()
     assert [(r["beat"], r["said"], r["visual"], r["begins"], r["ends"]) for r in rows] == [
-        ("HOOK", "one two three four five", "a door", 0.0, 2.0), ("BUILD", "six", "", 2.25, 3.45), ("SNAP", "seven eight", "", 3.7, 5.7),
+        ("HOOK", "one two three four five", "a door", 0.0, 1.92), ("BUILD", "six", "", 2.32, 3.52), ("SNAP", "seven eight", "", 3.92, 5.92),
     ]
 
 

@@ -292,7 +292,7 @@ def test_between_groups(spark):
 def test_audit(spark):
     from quipwright.operators import bundles
 
-    rows = [(1, "One text.", "a", "p", "train", "CC0", None), (2, "one TEXT", "b", "p", "test", "CC0", 0.5), (2, "see www.x.y", "b", "q", "test", None, None)]
+    rows = [(1, "One text.", "a", "p", "train", "CC0", None), (2, "one TEXT", "b", "p", "test", "CC0", 0.5), (2, "see HTTP://x.y", "b", "q", "test", None, None)]
     df = spark.createDataFrame(rows, "item_id int, text string, arm string, premise string, split string, license string, label double")
     got = {r["check"]: (r["ok"], r["n"]) for r in bundles.audit(df, "item_id", "text", "split", ["arm"], ["premise"], ["license"], ["label"]).collect()}
     assert got == {"rows_present": (True, 3), "unique_ids": (False, 1), "unique_texts": (False, 1), "no_links": (False, 1), "balanced": (False, 1), "premise_isolation": (False, 1), "one_licence": (False, 2), "no_label": (False, 1), "shape_tells": (False, 1000)}

@@ -49,7 +49,7 @@ def test_axes(spark):
     axes = F.create_map(F.lit("cold_warm"), F.lit(0.4), F.lit("low_high"), F.lit(-0.5), F.lit("dry_wet"), F.lit(0.01))
     assert one(spark, sc.axes_address(axes)) == "low(-0.50) · warm(+0.40)"
     m = one(spark, sc.axes_match(axes, F.create_map(F.lit("cold_warm"), F.lit(-0.4))))
-    assert m["widest"] == "cold_warm" and m["verdict"] == "apart"
+    assert m["widest"] == "cold_warm" and m["verdict"] == "off-vibe"
 
 
 def test_cuts_and_slots(spark):
@@ -170,3 +170,15 @@ def test_transfer_by_moments_is_the_fit(spark):
     w, *_ = np.linalg.lstsq(np.c_[x[g == "a"], np.ones(30)], y[g == "a"], rcond=None)
     p, t = np.c_[x[g == "b"], np.ones(30)] @ w, y[g == "b"]
     assert abs(got["a", "b"][0] - np.corrcoef(p, t)[0, 1]) < 1e-9 and abs(got["a", "b"][1] - (1 - ((t - p) ** 2).sum() / ((t - t.mean()) ** 2).sum())) < 1e-9
+
+
+def test_ratings_and_text_rows(spark):
+    good = ("rating_1", "i1", "p", "rater_key_1", *[4] * 7, "v1", "2026-01-01T00:00:00Z", "human_observed")
+    bad = ("rating_2", "i9", "q", "A@b.c", *[8] * 7, "", "2026-01-01T00:00:00", "model")
+    marks = ", ".join(f"{c} int" for c in bundles.RATINGS)
+    df = spark.createDataFrame([good, bad, ("rating_3", *good[1:])], f"rating_id string, item_id string, protocol_id string, rater_key string, {marks}, consent_version string, collected_at_utc string, data_origin string")
+    got = problems(bundles.ratings(df, spark.createDataFrame([("i1",)], "item_id string"), "p"))
+    assert got == {("rating_2", p) for p in (*(f"{c}_out_of_range" for c in bundles.RATINGS), "rater_not_pseudonymous", "wrong_protocol", "no_consent", "time_without_zone", "invalid_origin", "unknown_item")} | {("rating_1", "rated_twice")}
+    text = ("candidate1", "some text", "p", "m", "v", "a" * 64, '{"Token": 1}', "2026-01-01T00:00:00+01:00", "model_generated_candidate", False, "quarantined")
+    rows = spark.createDataFrame([text, (None, *text[1:6], "[]", "now", "x", True, "open")], "candidate_id string, text string, provider string, model_id string, model_version string, prompt_sha256 string, generation_parameters string, generated_at_utc string, data_origin string, human_authored boolean, release_status string")
+    assert problems(bundles.model_rows(rows)) == {("candidate1", "secret_parameter"), *((None, p) for p in ("invalid_id", "parameters_not_an_object", "time_without_zone", "invalid_origin", "not_quarantined"))}
