@@ -121,8 +121,7 @@ def words_of(text: str) -> list[tuple[str, int, int, bool, bool]]:
                     at.append(i)
         flat = "".join(kept)
     asides = [m.span() for m in _ASIDE.finditer(flat) if len(_WORD.findall(m.group())) <= ASIDE_WORDS] + [m.span() for m in _PHRASE.finditer(flat)]
-    letters = [c for c in flat if c.isalpha()]
-    shouting = sum(c.isupper() for c in letters) > 0.6 * max(1, len(letters))
+    shouting = sum(map(str.isupper, flat)) > 0.6 * max(1, sum(map(str.isalpha, flat)))
     out, last = [], 0
     for m in _WORD.finditer(flat):
         gap = flat[last : m.start()]
@@ -193,22 +192,25 @@ class Models:
 
 
 def _path(scores: np.ndarray, ends: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, float]:
-    """Best sequence of languages for scored words and its log likelihood."""
-    best = scores[0] + prior
-    back = np.zeros(scores.shape, np.int64)
-    for t in range(1, len(scores)):
-        change = best + prior - (SWITCH_AT_END if ends[t] else SWITCH)
-        source = int(change.argmax())
-        stay = best
-        moved = change[source] > stay
-        back[t] = np.where(moved, source, np.arange(len(stay)))
-        # arriving in a language costs its prior, so rare languages are entered for good reason only
-        best = np.where(moved, change[source], stay) + scores[t]
-    path = np.empty(len(scores), np.int64)
-    path[-1] = int(best.argmax())
-    for t in range(len(scores) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path, float(best.max())
+    """Best sequence of languages for scored words and its log likelihood.
+
+    The languages are two or three and the words a few dozen, for which plain numbers are faster than arrays.
+    """
+    rows, own = scores.tolist(), prior.tolist()
+    each = range(len(own))
+    best = [rows[0][i] + own[i] for i in each]
+    back: list[list[int]] = []
+    for row, end in zip(rows[1:], ends[1:].tolist()):
+        # changing from a language costs its prior, so rare languages are entered for good reason only
+        source = max(each, key=lambda i: best[i] + own[i])
+        change = best[source] + own[source] - (SWITCH_AT_END if end else SWITCH)
+        back.append([source if change > best[i] else i for i in each])
+        best = [(change if change > best[i] else best[i]) + row[i] for i in each]
+    at = max(each, key=best.__getitem__)
+    path = [at]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    return np.array(path[::-1]), best[at]
 
 
 def _proportions(scores: np.ndarray) -> np.ndarray:
@@ -234,7 +236,6 @@ def segment(models: Models, text: str) -> tuple[list[tuple[int, int, str, float]
     weight = np.array([NAME_WEIGHT if name else 1.0 for _, _, _, name, _ in words])
     scores = (raw - raw.max(axis=1, keepdims=True)) * weight[:, None]
     ends = np.array([clause for *_, clause in words])
-    share = _proportions(scores)
     single = scores.sum(axis=0)
     chosen = [int(single.argmax())]
     like = float(single.max())
@@ -255,9 +256,10 @@ def segment(models: Models, text: str) -> tuple[list[tuple[int, int, str, float]
     path = np.full(len(words), chosen[0])
     # no mixture can gain more than the best language of every word would
     hopeless = float(-scores[:, chosen[0]].sum()) < LANGUAGE_COST
+    share = None if hopeless else _proportions(scores)
     while not hopeless and len(chosen) < len(models.languages):
-        # no path can be worth more than the better of the languages for every word, so the others need no trial
-        most = np.maximum(scores, scores[:, chosen].max(axis=1, keepdims=True)).sum(axis=0)
+        # no path can be worth more than the better of the languages for every word less one change, so the others need no trial
+        most = np.maximum(scores, scores[:, chosen].max(axis=1, keepdims=True)).sum(axis=0) - min(SWITCH, SWITCH_AT_END)
         trials = [(x, *fit([*chosen, x])) for x in np.flatnonzero(most - like >= LANGUAGE_COST).tolist() if x not in chosen]
         if not trials:
             break
