@@ -32,7 +32,7 @@ LENGTH = 200
 #: Length of the k-grams that serve as minimisers; longer ones are rarer by chance but cut more super-k-mers.
 SEED = 96
 #: A filter has so many bits per entry, rounded up to a power of two of at most MOST_BITS (32 MB); nothing else is broadcast.
-BITS_PER_ENTRY, LEAST_BITS, MOST_BITS = 8, 16, 28
+BITS_PER_ENTRY, LEAST_BITS, MOST_BITS = 32, 16, 28
 _PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
 
@@ -141,10 +141,10 @@ def _known_to(keep: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (keep[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _owner_key(doc: int, m: np.ndarray, s: list[bytes]) -> np.ndarray:
-    """A hash of (document, minimiser, digest) for a filter of strings and the documents they are taken from."""
+def _owner_key(doc: np.ndarray, m: np.ndarray, s: list[bytes]) -> np.ndarray:
+    """Hashes of (document, minimiser, digest) for a filter of strings and the documents they are taken from."""
     head = np.frombuffer(b"".join(x[:8] for x in s), np.uint64)
-    return _mix(head ^ _mix(m.view(np.uint64) * _PRIME + np.uint64(doc & (1 << 64) - 1)))
+    return _mix(head ^ _mix(m.view(np.uint64) * _PRIME + doc.view(np.uint64)))
 
 
 def owned_strings(docs: DataFrame, place: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -152,22 +152,24 @@ def owned_strings(docs: DataFrame, place: DataFrame, length: int = LENGTH) -> Da
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, m, s = (batch.column(i).to_pylist() for i in range(3))
-            out = [_owner_key(d, np.array([x], np.int64), [y]) for d, x, y in zip(doc, m, s)]
-            yield pa.record_batch([pa.array(np.concatenate(out).view(np.int64) if out else [], pa.int64())], names=["k"])
+            doc, m = (batch.column(i).to_numpy() for i in range(2))
+            yield pa.record_batch([pa.array(_owner_key(doc, m, batch.column(2).to_pylist()).view(np.int64))], names=["k"])
 
-    sent = docs.sparkSession.sparkContext.broadcast(_filter(materialize(place.select("doc", "m", "s").mapInArrow(keys, "k long"), "owners"), "k"))
+    owners = materialize(place.select("doc", "m", "s").mapInArrow(keys, "k long"), "owners")
+    sent = docs.sparkSession.sparkContext.broadcast((_filter(place), _filter(owners, "k")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        minimiser, owner = sent.value
         for batch in batches:
             out: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 points = _pack(text)
                 least, first, windows = super_kmers(points, length)
-                ends = (first + windows + length - 1).tolist()
+                hit = _known_to(minimiser, least)
+                least, first, ends = least[hit], first[hit], (first + windows + length - 1)[hit].tolist()
                 s = [_digest(points[a:b]) for a, b in zip(first.tolist(), ends)]
                 if s:
-                    for i in np.flatnonzero(_known_to(sent.value, _owner_key(key, least, s))).tolist():
+                    for i in np.flatnonzero(_known_to(owner, _owner_key(np.full(len(s), key, np.int64), least, s))).tolist():
                         out.append((key, int(least[i : i + 1].view(np.int64)[0]), s[i], text[int(first[i]) : ends[i]]))
             columns = zip(*out) if out else ([], [], [], [])
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string())
