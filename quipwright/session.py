@@ -118,6 +118,7 @@ def materialize(df: DataFrame, name: str = "t", *partition_by: str) -> DataFrame
     the planner, so joins against a small intermediate may be broadcast by size.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -139,6 +140,7 @@ def spread(scan: DataFrame) -> DataFrame:
     cheap to move; anything larger stays where it is read. A frame that is more than a scan is left
     alone: its splits are not known before it runs.
     """
+    ship(scan.sparkSession)
     plan = scan._jdf.queryExecution().optimizedPlan().toString()
     if re.search(r"\b(Join|Aggregate|Window|Sort|Repartition\w*|RebalancePartitions|Limit|Union|Generate|\w*InPandas|\w*InArrow)\b", plan):
         return scan
