@@ -156,12 +156,14 @@ def owned_strings(docs: DataFrame, place: DataFrame, length: int = LENGTH) -> Da
             yield pa.record_batch([pa.array(_owner_key(doc, m, batch.column(2).to_pylist()).view(np.int64))], names=["k"])
 
     owners = materialize(place.select("doc", "m", "s").mapInArrow(keys, "k long"), "owners")
-    sent = docs.sparkSession.sparkContext.broadcast((_filter(place), _filter(owners, "k")))
+    sent = docs.sparkSession.sparkContext.broadcast((_filter(place, "doc"), _filter(place), _filter(owners, "k")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minimiser, owner = sent.value
+        document, minimiser, owner = sent.value
         for batch in batches:
             out: list[tuple] = []
+            if batch.num_rows:
+                batch = batch.filter(pa.array(_known_to(document, batch.column(0).to_numpy().view(np.uint64))))
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 points = _pack(text)
                 least, first, windows = super_kmers(points, length)
