@@ -33,6 +33,8 @@ LENGTH = 200
 SEED = 96
 #: A filter has so many bits per entry, rounded up to a power of two of at most MOST_BITS (32 MB); nothing else is broadcast.
 BITS_PER_ENTRY, LEAST_BITS, MOST_BITS = 32, 16, 28
+#: A filter is made in pieces of so many bits (as a power of two), and a task makes so many pieces: 1 MB.
+PIECE_BITS, PIECES = 18, 32
 _PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
 
@@ -127,12 +129,28 @@ def minimisers(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _filter(entries: DataFrame, key: str = "m") -> np.ndarray:
-    """Bit set of the low bits of ``key``; at most 2**(MOST_BITS - 6) words reach the driver."""
+    """Bit set of the low bits of ``key``, made in pieces by the tasks; the driver takes in the bytes of a task's pieces at a time, 2**(MOST_BITS - 3) in all."""
     wide = max(LEAST_BITS, min(MOST_BITS, (BITS_PER_ENTRY * entries.count()).bit_length()))
+    piece = min(wide, PIECE_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            low = np.unique(batch.column(0).to_numpy())
+            at = low >> piece
+            for k, bits in zip(np.unique(at).tolist(), np.split(low, np.flatnonzero(np.diff(at)) + 1)):
+                bits &= (1 << piece) - 1
+                np.bitwise_or.at(held.setdefault(k, np.zeros(1 << (piece - 3), np.uint8)), bits >> 3, np.uint8(1) << (bits & 7).astype(np.uint8))
+        for k, bits in held.items():
+            yield pa.record_batch([pa.array([k]), pa.array([bits.tobytes()])], names=["piece", "bits"])
+
     low = F.col(key).bitwiseAND((1 << wide) - 1)
-    words = entries.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({key} & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (wide - 6), np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    tasks = max(1, (1 << (wide - piece)) // PIECES)
+    dealt = entries.select(low.alias("low")).repartitionById(tasks, F.pmod(F.shiftright("low", piece), F.lit(tasks)).cast("int"))
+    out = np.zeros(1 << (wide - 3), np.uint8)
+    for r in dealt.mapInArrow(run, "piece long, bits binary").toLocalIterator():
+        at = r["piece"] << (piece - 3)
+        out[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
     return out.view(np.uint64)
 
 

@@ -79,3 +79,21 @@ def test_a_full_filter_costs_no_result(spark, monkeypatch):
     run = words(rng, 240)
     rows = [(i, words(rng, 700)) for i in range(30)] + [(90, run + words(rng, 50)), (91, words(rng, 80) + run)]
     assert {r["doc_id"] for r in sp.documents_with_shared_span(table(spark, rows)).collect()} == {90, 91}
+
+
+def test_a_filter_reaches_the_driver_as_bytes(spark, monkeypatch):
+    """Its bits are those of all keys, and the driver holds little more than them: not an object for every word of them."""
+    import tracemalloc
+
+    monkeypatch.setattr(sp, "PIECE_BITS", 12, raising=False)
+    monkeypatch.setattr(sp, "PIECES", 512, raising=False)
+    entries = spark.range(200_000).selectExpr("xxhash64(id) m")
+    tracemalloc.start()
+    found = sp._filter(entries)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    keys = np.array([r["m"] for r in entries.collect()], np.int64).view(np.uint64)
+    bits = np.zeros(len(found) * 64, bool)
+    bits[(keys & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    assert np.array_equal(np.packbits(bits, bitorder="little").view(np.uint64), found)
+    assert len(found) == 1 << 17 and peak < 12e6
